@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "smoke_chunks"
+from quillmass.plans.oracles import ORACLE_SQL
+from quillmass.plans.queries import QUERIES
 
-
-def _smoke(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+FLAGSHIP = "library_search"
 
 
 def queries() -> dict:
-    return {"smoke_chunks": _smoke}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {"smoke_chunks": "SELECT doc_id, n_chars FROM documents"}
+    return dict(ORACLE_SQL)
