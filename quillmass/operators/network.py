@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from quillmass.functions import chemistry
 from quillmass.operators.bandjoin import band_join
+from quillmass.operators.storage import cut
 
 MODES = ("evidence_bundle", "reaction_evidence", "strict", "high_recall", "mass_only", "required_empty", "theoretical_catalog_only")
 GATES = ("source_propagation", "ion_mode", "chemical_validation", "target_mass_available", "precursor_ppm", "precursor_da", "fragment_identity", "isomer_uniqueness")
@@ -197,9 +198,10 @@ def hypotheses(frontier: DataFrame, nodes: DataFrame, entities: DataFrame, rules
     sources = frontier.groupBy(F.col("entity_id").alias("source_entity_id")).agg(F.min("node_id").alias("source_node_id"))
     steps = sources.join(rules, "source_entity_id").join(entities.select(F.col("entity_id").alias("target_entity_id"), "target_origin", "exact_mass", F.col("ion_modes").alias("entity_modes")), "target_entity_id")
     targets = entities.join(steps.select(F.col("target_entity_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
-    mass = mass_candidates(nodes, targets, config)
-    found = fragment_matches(mass, nodes, entities, fragments, diagnostics, config)
-    signed = signature_competitors(found, nodes, fragments, config)
+    # each is used several times; kept, its joins run once
+    mass = cut(mass_candidates(nodes, targets, config))
+    found = cut(fragment_matches(mass, nodes, entities, fragments, diagnostics, config))
+    signed = cut(signature_competitors(found, nodes, fragments, config))
     pairs = mass.join(found, ["node_id", "entity_id"]).join(signed, ["node_id", "entity_id"]).withColumnRenamed("entity_id", "target_entity_id")
     rows = steps.join(pairs, "target_entity_id").join(nodes.select("node_id", F.col("ion_mode").alias("node_mode")), "node_id").withColumnRenamed("node_id", "target_node_id")
     passed, level = fragment_gate(config)
@@ -294,12 +296,11 @@ def expand(nodes: DataFrame, seeds: DataFrame, entities: DataFrame, rules: DataF
     Seeds of unknown nodes or entities are left out; a node with several seed entities is an ambiguous seed that
     still spreads from each of them. A (node, target) state is tried at one depth only.
     """
-    spark = nodes.sparkSession
     seeds = seeds.join(nodes.select("node_id"), "node_id", "left_semi").join(entities.select("entity_id"), "entity_id", "left_semi").select("node_id", "entity_id").distinct()
     known = seeds.groupBy("node_id").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))  # one spectrum's near-tied entities
     one = F.size("ids") == 1
     none = F.array().cast("array<string>")
-    decisions = known.select(
+    decisions = cut(known.select(
         "node_id",
         F.when(one, F.get("ids", F.lit(0))).otherwise("").alias("target_entity_id"),
         F.lit("").alias("source_entity_id"),
@@ -312,14 +313,14 @@ def expand(nodes: DataFrame, seeds: DataFrame, entities: DataFrame, rules: DataF
         F.when(one, none).otherwise(F.col("ids")).alias("ambiguous_targets"),
         none.alias("ambiguous_rules"),
         F.lit(0).alias("network_depth"),
-    ).persist()
+    ))
     visited, frontier, audits = seeds.select("node_id", F.col("entity_id").alias("target_entity_id")), seeds, []
     for depth in range(1, config.max_depth + 1):
         open_nodes = nodes.join(decisions.select("node_id"), "node_id", "left_anti")
         rows = hypotheses(frontier, open_nodes, entities, rules, fragments, diagnostics, config, depth)
-        rows = rows.join(visited.withColumnRenamed("node_id", "target_node_id"), ["target_node_id", "target_entity_id"], "left_anti").persist()
+        rows = cut(rows.join(visited.withColumnRenamed("node_id", "target_node_id"), ["target_node_id", "target_entity_id"], "left_anti"))
         audits.append(rows)
-        decided = decide(rows, config).withColumn("network_depth", F.lit(depth)).persist()
+        decided = cut(decide(rows, config).withColumn("network_depth", F.lit(depth)))
         decisions = decisions.unionByName(decided)
         frontier = decided.filter("propagation_eligible").select("node_id", F.col("target_entity_id").alias("entity_id"))
         visited = visited.unionByName(rows.select(F.col("target_node_id").alias("node_id"), "target_entity_id").distinct())
@@ -330,7 +331,6 @@ def expand(nodes: DataFrame, seeds: DataFrame, entities: DataFrame, rules: DataF
         every = every.unionByName(more)
     found = decisions.filter(F.col("annotation_status").isin("fragment_supported_discover", "ambiguous_group_discover"))
     edges = found.select("source_entity_id", F.when(F.col("target_entity_id") != "", F.col("target_entity_id")).otherwise(F.col("target_entity_group_id")).alias("target_entity_id"), "rule_id", "annotation_status", "ambiguous_targets", "ambiguous_rules")
-    del spark
     return decisions, every, edges
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmass.functions import chemistry
+from quillmass.operators.storage import cut
 
 
 def combinations(templates: DataFrame, pools: list[str], most: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +58,8 @@ def complete_reactants(templates: DataFrame, forms: DataFrame, rounds: int = 5)
         open_one = both.filter((F.size("reactants_lack") == 1) & (F.size("products_lack") == 0))
         lacking = F.get("reactants_lack", F.lit(0))
         solved = open_one.select("template_id", lacking["entity_id"].alias("entity_id"), chemistry.missing_reactant(F.col("reactants"), F.col("products"), F.col("operator"), lacking["coefficient"]).alias("m"))
-        solved = solved.filter("m.status = 'derived_formula_valid'").groupBy("entity_id").agg(F.min_by("m.formula", "template_id").alias("formula")).persist()
+        solved = cut(solved.filter("m.status = 'derived_formula_valid'").groupBy("entity_id").agg(F.min_by("m.formula", "template_id").alias("formula")))
         if solved.isEmpty():
             break
-        known = known.unionByName(solved).persist()
+        known = known.unionByName(solved)
     return known
