@@ -115,7 +115,7 @@ def bins_needed(lengths: list[int], capacity: int) -> int:
 
 
 def _pack_group(capacity: int, stage: int, last: bool):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "row_key"], ascending=[False, True, True, True], na_position="first").reset_index(drop=True)
         lengths = rows["length"].tolist()
         bins = pd.Series(best_fit_decreasing(lengths, capacity))
@@ -172,7 +172,7 @@ def pack(found: DataFrame, capacity: int = 2048, group_rows: int = 20_000, round
 
 
 def _wrapped(run):
-    def of(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return run(key, rows.drop(columns="_group"))
 
     return of
