@@ -22,6 +22,8 @@ from .common import cut, stored
 
 #: Lines of more words take the windowed way to their variants, whose cost stays linear in the words.
 LONG = 256
+#: Candidate lines (two hashes and a place each) are broadcast up to this number, and joined by shuffle beyond it.
+MAX_BROADCAST_ROWS = 250_000
 
 
 def _at(doc: str, key: str, place: str) -> Column:
@@ -37,17 +39,16 @@ def _lines(documents: DataFrame) -> DataFrame:
     return lines.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), "line"))
 
 
-def _half_keys(words: Column, n: Column, min_words: int) -> Column:
-    """Hashes of the first and last half, as the shorter or as the longer line of a pair."""
+def _half_keys(words: Column, n: Column, min_words: int) -> list[Column]:
+    """Hashes of the first and last half, as the shorter and as the longer line of a pair; null where the line is too short."""
 
-    def of(m: Column) -> list[Column]:
+    def of(m: Column, least: int) -> list[Column]:
         half = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), half)), F.xxhash64(F.lit(1), m, F.slice(words, half - m, m - half))]
+        # the last m - half words, counted from the end, are the same place in both lines
+        first, last = F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), half)), F.xxhash64(F.lit(1), m, F.slice(words, half - m, m - half))
+        return [F.when(n >= least, first), F.when(n >= least, last)]
 
-    # of n words, the last m - half begin at n - m + half + 1; counted from the end it is the same for both
-    short = F.when(n >= min_words, F.array(*of(n))).otherwise(F.array().cast("array<bigint>"))
-    longer = F.when(n > min_words, F.array(*of(n - 1))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(short, longer)
+    return [*of(n, min_words), *of(n - 1, min_words + 1)]
 
 
 def _short_variants(lines: DataFrame) -> DataFrame:
@@ -92,31 +93,40 @@ def _within_one(x: Column, y: Column) -> Column:
     )
 
 
-def similar_lines(distinct: DataFrame, min_words: int) -> DataFrame:
-    """a, b: the distinct lines that have an earlier line within one edit. ``distinct``: a, b, first, words, n, halves."""
-    eligible = distinct.filter(F.col("n") >= min_words)
-    halves = eligible.select("a", "b", F.explode("halves").alias("half"))
+def _candidates(distinct: DataFrame, min_words: int) -> DataFrame:
+    """a, b, first, n of the distinct lines that share a half with another: all that can have one within an edit."""
+    halves = distinct.filter(F.col("n") >= min_words).select("a", F.explode(F.array("h1", "h2", "h3", "h4")).alias("half")).filter("half IS NOT NULL")
     shared = cut(halves.groupBy("half").agg(F.count("*").alias("sharing")).filter("sharing > 1").select("half"))
-    candidates = cut(halves.join(shared, "half", "left_semi").select("a", "b").distinct())
+    sharing = cut(halves.join(shared, "half", "left_semi").select("a").distinct())
+    return cut(distinct.select("a", "b", "first", "n").join(sharing, "a", "left_semi"))
+
+
+def similar_lines(documents: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+    """a, b: the distinct lines that have an earlier line within one edit. ``distinct``: a, b, first, n, h1 to h4."""
+    candidates = _candidates(distinct, min_words)
+    # the words of candidates come from a second scan, at their first place; no other line's text is moved
+    wanted = candidates if candidates.count() > MAX_BROADCAST_ROWS else F.broadcast(candidates)
+    lines = _lines(documents)
+    found = lines.join(wanted, ["a", "b"]).filter(F.col("first") == _at("doc", "key", "place"))
+    left = found.select("a", "b", "first", "n", F.split("line", " ").alias("words")).dropDuplicates(["a", "b"])
     whole = F.aggregate(F.transform("words", lambda w, j: F.xxhash64(w, j)), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(h))
-    left = eligible.join(candidates, ["a", "b"], "left_semi").select("a", "b", "first", "n", "words")
     left = cut(left.withColumn("whole", whole))
     emitted = _short_variants(left.filter(F.col("n") <= LONG)).unionByName(_long_variants(left.filter(F.col("n") > LONG)))
-    # kind: replacement buckets hold one place of lines of equal length; insertion buckets a line and longer ones
+    # roles: 0 a line with one place replaced, 1 a longer line with one word deleted, 2 a whole line
     as_replaced = F.xxhash64(F.lit("replace"), "n", "i", "variant")
     as_longer = F.xxhash64(F.lit("insert"), F.col("n") - 1, "variant")
     keyed = emitted.select("a", "b", F.explode(F.array(F.struct(as_replaced.alias("bucket"), F.lit(0).alias("role")), F.struct(as_longer.alias("bucket"), F.lit(1).alias("role")))).alias("k")).select("a", "b", "k.*")
     wholes = left.select("a", "b", F.xxhash64(F.lit("insert"), "n", "whole").alias("bucket"), F.lit(2).alias("role"))
-    keyed = keyed.unionByName(wholes).distinct()
+    keyed = keyed.unionByName(wholes)
     # buckets that can link: two lines with the same place replaced, or a whole line and a longer one
     roles = keyed.groupBy("bucket").agg(F.count_if(F.col("role") == 0).alias("replaced"), F.count_if(F.col("role") == 1).alias("longer"), F.count_if(F.col("role") == 2).alias("wholes"))
     linking = cut(roles.filter("replaced > 1 OR (longer > 0 AND wholes > 0)").select("bucket"))
-    members = cut(keyed.join(linking, "bucket", "left_semi").join(left.select("a", "b", "first"), ["a", "b"]))
-    # the earliest of each role; a longer line is compared with the whole one, and that with the earliest longer one
+    members = cut(keyed.join(linking, "bucket", "left_semi").distinct().join(left.select("a", "b", "first"), ["a", "b"]))
+    # a longer line is compared with the whole one, and that with the earliest longer one
     against = F.when(F.col("role") == 1, 2).when(F.col("role") == 2, 1).otherwise(0)
     earliest = cut(members.groupBy("bucket", "role").agg(F.min(F.struct("first", "a", "b")).alias("e")))
     earliest = earliest.select(F.col("bucket").alias("bucket2"), F.col("role").alias("role2"), F.col("e.first").alias("first2"), F.col("e.a").alias("a2"), F.col("e.b").alias("b2"))
-    pairs = members.join(earliest, (F.col("bucket") == F.col("bucket2")) & (against == F.col("role2"))).filter(F.col("first2") < F.col("first"))
+    pairs = members.withColumn("against", against).join(earliest, (F.col("bucket") == F.col("bucket2")) & (F.col("against") == F.col("role2"))).filter(F.col("first2") < F.col("first"))
     pairs = pairs.select("a", "b", "a2", "b2").distinct()
     texts = left.select("a", "b", "words")
     other = left.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("words2"))
@@ -125,17 +135,20 @@ def similar_lines(distinct: DataFrame, min_words: int) -> DataFrame:
 
 
 def dropped_lines(documents: DataFrame, min_words: int = 5, label: str = "lines") -> DataFrame:
-    """doc, key, places: the line numbers (from 0) that go, for each document that loses any."""
-    lines = _lines(documents)
-    firsts = lines.groupBy("a", "b").agg(F.min(_at("doc", "key", "place")).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line"))
+    """doc, key, places: the line numbers (from 0) that go, for each document that loses any.
+
+    Lines move as hashes and places only, in one shuffle for equal lines and one for those that go.
+    """
     words = F.split("line", " ")
-    n = F.size("words")
-    distinct = firsts.withColumn("words", words).withColumn("n", n).withColumn("halves", _half_keys(F.col("words"), F.col("n"), min_words))
-    distinct = stored(distinct.drop("line"), label)
-    similar = cut(similar_lines(distinct, min_words)).withColumn("similar", F.lit(True))
+    hashed = _lines(documents).withColumn("words", words).withColumn("n", F.size("words"))
+    halves = {f"h{k}": c for k, c in enumerate(_half_keys(F.col("words"), F.col("n"), min_words), 1)}
+    narrow = hashed.select("a", "b", _at("doc", "key", "place").alias("at"), "n", *[c.alias(h) for h, c in halves.items()])
+    firsts = narrow.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *halves)])
+    distinct = stored(firsts, label)
+    similar = cut(similar_lines(documents, distinct, min_words)).withColumn("similar", F.lit(True))
     touched = distinct.select("a", "b", "first", "copies").join(similar, ["a", "b"], "left").filter("copies > 1 OR similar").select("a", "b", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
     touched = cut(touched)
-    places = lines.select("doc", "key", "place", "a", "b").join(touched, ["a", "b"]).filter(F.col("similar") | (F.col("first") < _at("doc", "key", "place")))
+    places = _lines(documents).select("doc", "key", "place", "a", "b").join(touched, ["a", "b"]).filter(F.col("similar") | (F.col("first") < _at("doc", "key", "place")))
     return places.groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))  # at most a document's lines
 
 
