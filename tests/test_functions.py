@@ -19,7 +19,7 @@ def test_text_functions(spark):
     assert values(spark, text.clean_library_name, ["A|x", " b ", None]) == ["A", "b", ""]
     assert values(spark, lambda c: text.split_values(c), ["a; b|c", '["x", "y "]', "[bad", None]) == [["a", "b", "c"], ["x", "y"], ["[bad"], []]
     assert values(spark, lambda c: text.format_number(c, 2), [1.5, 2.0, -0.001, None], "double") == ["1.5", "2", "0", ""]
-    assert values(spark, text.scientific_tokens, ["[M+H]+ at m / z 301.5, α–b 2-keto"]) == [["[m+h]+", "m/z", "301.5", "b", "2-keto"]] or True
+    assert values(spark, text.scientific_tokens, ["[M+H]+ at m / z 301.5, α–b 2-keto"]) == [["[m+h]+", "at", "m/z", "301.5", "b", "2-keto"]]
     assert values(spark, lambda c: text.join_unique(F.split(c, ",")), ["a,B,b, A ,c"]) == ["a;B;c"]
     assert values(spark, text.registry_name, ["Ｆull Straße", "Plain  Name", None]) == ["full strasse", "plain name", ""]
     assert values(spark, text.registry_name_keys, ["Outer (inner/other)", "a (b)"]) == [["outer (inner/other)", "outer", "inner/other", "inner", "other"], ["a (b)"]]
