@@ -171,4 +171,19 @@ SELECT * FROM (VALUES ('n0', 'A', 'known_match', '', 0), ('n1', 'B', 'fragment_s
  ('n2', 'D', 'fragment_supported_discover', 'class_consensus_pair', 2), ('n3', 'D', 'candidate', 'failed', 2)) t(node_id, target_entity_id, annotation_status, fragment_gate_level, network_depth)
 """,
     "first_in_island": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN CAST(length(text) AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM conversations",
+    "formula_consensus": """
+WITH c AS (SELECT p_brand AS entity_id, CASE p_size % 4 WHEN 0 THEN 'C6H12O6' WHEN 1 THEN 'H2O' WHEN 2 THEN 'NaCl' ELSE 'bad' END AS formula,
+             CASE p_size % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS trust, p_partkey % 40 AS e, p_partkey AS ord FROM part),
+g AS (SELECT entity_id, formula, count(DISTINCT e) AS evidence, max(trust) AS best, sum(trust) AS total, min(ord) AS first FROM c WHERE formula <> 'bad' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY evidence DESC, best DESC, total DESC, first) AS n, count(*) OVER (PARTITION BY entity_id) AS k FROM g)
+SELECT entity_id, formula, k > 1 AS conflict FROM r WHERE n = 1
+""",
+    "learned_aliases": """
+SELECT * FROM (VALUES ('e1', 'e2', 'series_prefix'), ('e3', 'e4', 'series_prefix'), ('e5', 'e6', 'series_prefix'), ('e8', 'e2', 'equivalent_name'),
+ ('e9', 'e10', 'identifier_suffix')) t(entity_id, canonical_id, reason)
+""",
+    "diagnostic_claims": """
+SELECT * FROM (VALUES ('betacyanin', '150.05', 'explicit_diagnostic', 'c1', 0.85::DOUBLE), ('betacyanin', '389.1', 'explicit_diagnostic', 'c1', 0.85),
+ ('', '389.1', 'explicit_diagnostic', 'c2', 0.85), ('', '222.22', 'structural_mapping', 'c4', 0.75)) t(subclass, fragment_mz, diagnostic_evidence_type, evidence_ids, confidence)
+""",
 }

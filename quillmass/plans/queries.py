@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmass.functions import chemistry, text
-from quillmass.operators import corpus, evidence, network, reactions, spectra
+from quillmass.operators import corpus, evidence, inventory, network, reactions, registry, spectra
 from quillmass.operators.bandjoin import band_join
 from quillmass.sources.spectra import link_features
 
@@ -237,6 +237,31 @@ def first_in_island(spark, d):
     return turns.select("conv_id", "turn", F.last("own", ignorenulls=True).over(w).alias("carried"))
 
 
+def formula_consensus(spark, d):
+    """Formulas of types, brands as sources of trust, parts as evidence."""
+    formulas = F.element_at(F.array(*[F.lit(f) for f in ("C6H12O6", "H2O", "NaCl", "bad")]), (F.col("p_size") % 4 + 1).cast("int"))
+    source = F.when(F.col("p_size") % 3 == 0, "supplementary_table").when(F.col("p_size") % 3 == 1, "structured_table").otherwise("")
+    claims = table(spark, d, "part").select(F.col("p_brand").alias("entity_id"), formulas.alias("formula"), source.alias("source_structure"), F.array((F.col("p_partkey") % 40).cast("string")).alias("evidence_ids"), F.col("p_partkey").alias("ord"))
+    return registry.formula_consensus(claims)
+
+
+SERIES = [("e1", "Rg-a1", "C1"), ("e2", "Regi-a1", "C1"), ("e3", "Rg-b2", "C2"), ("e4", "Regi b2", "C2"), ("e5", "iso Rg-c3", "C3"), ("e6", "iso Regi c3", "C3"), ("e7", "Zz-a1", "C1"), ("e8", "Ｒg-a1", "C1"), ("e9", "Mono", "C9"), ("e10", "Mono IV", "C9"), ("e11", "Tz-k1", "C5"), ("e12", "Tzar-k1", "C5")]
+
+
+def learned_aliases(spark, d):
+    rows = spark.createDataFrame(SERIES, "entity_id string, name string, formula string").withColumn("compound_class", F.lit("Cls")).withColumn("evidence_quote", F.when(F.col("name") == "Mono", "the form Mono IV was seen").otherwise(""))
+    return registry.learn_aliases(rows)
+
+
+STATEMENTS = [("c1", "f1", "A diagnostic ion at m/z 150.05 and 389.10 of the betacyanin."), ("c2", "f2", "A fingerprint at m/z 389.1"), ("c3", "f3", "m/z 300.00 is plain"), ("c4", "f4", "The ring was mapped to 222.22 and m/z 99.99")]
+
+
+def diagnostic_claims(spark, d):
+    chunks = spark.createDataFrame(STATEMENTS, "chunk_id string, source_file string, text string")
+    mined = inventory.mine_diagnostics(chunks, "cls", {"betacyanin": "betacyanin"})
+    return mined.select("subclass", "fragment_mz", "diagnostic_evidence_type", F.array_join("evidence_ids", ";").alias("evidence_ids"), "confidence")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -268,5 +293,8 @@ QUERIES = {
         inferred_transformations,
         network_expansion,
         first_in_island,
+        formula_consensus,
+        learned_aliases,
+        diagnostic_claims,
     )
 }
