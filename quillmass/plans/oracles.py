@@ -186,4 +186,23 @@ SELECT * FROM (VALUES ('e1', 'e2', 'series_prefix'), ('e3', 'e4', 'series_prefix
 SELECT * FROM (VALUES ('betacyanin', '150.05', 'explicit_diagnostic', 'c1', 0.85::DOUBLE), ('betacyanin', '389.1', 'explicit_diagnostic', 'c1', 0.85),
  ('', '389.1', 'explicit_diagnostic', 'c2', 0.85), ('', '222.22', 'structural_mapping', 'c4', 0.75)) t(subclass, fragment_mz, diagnostic_evidence_type, evidence_ids, confidence)
 """,
+    "critic_verdicts": r"""
+WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'no such words here' ELSE replace(substr(text, 3, 40), ' ', '  ') END AS quote,
+             CASE WHEN doc_id % 3 <> 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'accept' ELSE 'review' END AS verdict FROM documents),
+n AS (SELECT *, trim(regexp_replace(lower(quote), '\s+', ' ', 'g')) AS q, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM c),
+f AS (SELECT *, q <> '' AND contains(t, q) AS traced FROM n)
+SELECT CAST(doc_id AS VARCHAR) AS claim_id, coalesce(verdict, 'review') AS semantic_verdict,
+  CASE WHEN traced THEN coalesce(verdict, 'review') WHEN verdict IS NOT NULL THEN 'reject' ELSE 'review' END AS final_verdict,
+  CASE WHEN verdict IS NULL THEN 'not_assessed' ELSE 'explicit_report' END AS support_type,
+  CASE WHEN traced THEN '' ELSE 'untraceable_evidence_quote' END AS reasons FROM f
+""",
+    "domain_verdicts": r"""
+WITH c AS (SELECT doc_id AS claim_id, doc_id % 3 = 0 AS t, doc_id % 2 <> 0 AS ion,
+  trim(regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN 'Alpha' ELSE 'm/z 5' END || ' Beta ' || substr(text, 1, 300)), '[^a-z0-9]+', ' ', 'g')) AS h FROM documents),
+m AS (SELECT *, CASE WHEN t AND ion THEN 'msms_fragmentation_not_entity_transformation' ELSE '' END AS shape FROM c),
+x AS (SELECT *, CASE WHEN shape = '' THEN array_to_string(list_filter(['de la', 'the', 'und der'], lambda w: contains(h, w)), ';') ELSE '' END AS terms FROM m)
+SELECT claim_id, CASE WHEN shape <> '' OR terms = '' THEN 'reject' ELSE 'pass' END AS verdict,
+  CASE WHEN shape <> '' THEN shape WHEN terms = '' THEN 'domain_relevance_not_established' ELSE '' END AS reason_code, terms FROM x
+""",
+    "recovered_losses": "SELECT * FROM (VALUES (1, 'recover', '312.05'), (2, 'reject', ''), (3, 'reject', ''), (4, 'reject', '')) t(claim_id, verdict, source_ion_mz)",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmass.functions import chemistry, text
-from quillmass.operators import corpus, evidence, inventory, network, reactions, registry, spectra
+from quillmass.operators import corpus, evidence, guards, inventory, network, reactions, registry, spectra, windows
 from quillmass.operators.bandjoin import band_join
 from quillmass.sources.spectra import link_features
 
@@ -262,6 +262,34 @@ def diagnostic_claims(spark, d):
     return mined.select("subclass", "fragment_mz", "diagnostic_evidence_type", F.array_join("evidence_ids", ";").alias("evidence_ids"), "confidence")
 
 
+def critic_verdicts(spark, d):
+    """Quotes of documents against their own text: every third decided, every fifth quote cut from another text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    claims = docs.select(F.col("doc_id").cast("string").alias("claim_id"), F.when(F.col("doc_id") % 5 == 0, "no such words here").otherwise(F.regexp_replace(F.substring("text", 3, 40), " ", "  ")).alias("evidence_quote"), F.array(F.col("doc_id").cast("string")).alias("source_chunk_ids"))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    decisions = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("claim_id"), F.when(F.col("doc_id") % 2 == 0, "accept").otherwise("odd").alias("verdict"), F.lit("explicit_report").alias("support_type"), F.array().cast("array<string>").alias("reason_codes"), F.lit(1).alias("ord"))
+    return guards.critic_decisions(claims, decisions, chunks).select("claim_id", "semantic_verdict", "final_verdict", "support_type", F.array_join("reason_codes", ";").alias("reasons"))
+
+
+def domain_verdicts(spark, d):
+    claims = table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), F.when(F.col("doc_id") % 3 == 0, "transformation").otherwise("compound").alias("claim_type"), F.when(F.col("doc_id") % 2 == 0, "Alpha").otherwise("m/z 5").alias("source_entity"), F.lit("Beta").alias("target_entity"), F.substring("text", 1, 300).alias("evidence_quote"))
+    concepts = spark.createDataFrame([("the", "compound"), ("Und der", "compound"), ("ab", "compound")], "name string, type string")
+    return guards.domain_guard(claims, "De La", concepts).select("claim_id", "verdict", "reason_code", F.array_join("domain_terms", ";").alias("terms"))
+
+
+def recovered_losses(spark, d):
+    rows = [(1, "neutral_loss", True, "m/z 150.0 = 312.05 − 162.05", "162.05"), (2, "neutral_loss", True, "m/z 150.0 = 312.05 - 160", "160"), (3, "neutral_loss", False, "m/z 1=2-1", "1"), (4, "compound", True, "m/z 1=2-1", "1")]
+    df = spark.createDataFrame(rows, "claim_id int, claim_type string, traceable boolean, evidence_quote string, neutral_loss_mass string")
+    return guards.recover_losses(df).select("claim_id", "verdict", F.coalesce("source_ion_mz", F.lit("")).alias("source_ion_mz"))
+
+
+def context_windows(spark, d):
+    """Turns as units, long ones as hits: windows of at most 600 characters."""
+    units = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").cast("int").alias("position"), F.col("text").alias("content"))
+    hits = units.filter(F.length("content") % 5 == 0).select("source", "position", F.length("content").cast("double").alias("score"))
+    return windows.document_windows(units, hits, 600).select("source", "first_position", "last_position", "part", "hit_count", F.length("window_text").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -296,5 +324,9 @@ QUERIES = {
         formula_consensus,
         learned_aliases,
         diagnostic_claims,
+        critic_verdicts,
+        domain_verdicts,
+        recovered_losses,
+        context_windows,
     )
 }
