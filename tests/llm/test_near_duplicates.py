@@ -132,7 +132,9 @@ def brute_lines(rows, min_words=5):
     return out
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("long", [8, 1024])
+def test_lines_equal_brute_force(spark, monkeypatch, long):
+    monkeypatch.setattr(lines, "LONG", long)
     random.seed(10)
     words = [f"w{i}" for i in range(12)]
     pool = [[random.choice(words) for _ in range(random.choice([1, 3, 5, 6, 7, 9, 300]))] for _ in range(25)]
