@@ -43,7 +43,7 @@ CATALOG_ROLES = ("supplementary_table", "compound_catalog", "experimental_table"
 RARE_TERMS = (
     (3.0, r"\bC\d+H\d+(?:[A-Z][a-z]?\d*)*\b"),
     (2.0, r"(?i)\bm\s*/\s*z\b|\b\d+\.\d{3,}\b"),
-    (1.0, r"\b[A-Z][A-Za-z]+(?:[- ][A-Za-z0-9]+){1,}\b"),
+    (1.0, r"\b[A-Z][A-Za-z]+[- ][A-Za-z0-9][A-Za-z0-9 -]*\b"),  # a capitalised word and those it is joined to
     (0.5, r"(?i)\b[A-Za-z]+(?:ine|ol|one|acid|oside|glycoside|glucoside|aglycone|ester|amide)s?\b"),
 )
 CHUNK = "chunk_number int, char_start int, char_end int, chunk_text string"
@@ -148,8 +148,13 @@ def evidence_alignment(content: Column, role: Column, family: str) -> Column:
 
 
 def rare_term_score(content: Column) -> Column:
-    """Weighted counts of formulas, exact masses, names and chemical endings."""
-    return sum((F.regexp_count(content, F.lit(p)) * w for w, p in RARE_TERMS), F.lit(0.0))
+    """Weighted counts of formulas, exact masses, names and chemical endings.
+
+    Joined words are separated by one blank or dash; longer separators are turned into line ends first, so that a
+    name is one character class and a long text costs no recursion.
+    """
+    plain = F.regexp_replace(content, "[- ]{2,}", "\n")
+    return sum((F.regexp_count(plain, F.lit(p)) * w for w, p in RARE_TERMS), F.lit(0.0))
 
 
 def build_index(documents: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

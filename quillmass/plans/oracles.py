@@ -34,7 +34,7 @@ FROM docs"""
 def _rare() -> str:
     from quillmass.operators.corpus import RARE_TERMS
 
-    return "SELECT doc_id, " + " + ".join(f"{w}::DOUBLE * len(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '{p}'))" for w, p in RARE_TERMS) + " AS score FROM documents"
+    return "SELECT doc_id, " + " + ".join(f"{w}::DOUBLE * len(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[- ]{{2,}}', chr(10), 'g'), '{p}'))" for w, p in RARE_TERMS) + " AS score FROM documents"
 
 
 ORACLE_SQL = {
