@@ -7,6 +7,7 @@ such texts go through the whole pattern at once. Chunk results are cached per Py
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import json
@@ -186,19 +187,25 @@ class Automaton:
     It starts as one state with a loop for every initial symbol. The merge gadget of (u, v), in rank order:
     u gets a state of its own (a copy of the state that its arcs led to), the arc v goes from that state, and
     wherever an arc u leaves there is now also an arc uv, to the state behind v. As an arc's label decides its
-    target, ``target[label]`` holds the arcs' ends, and ``gone[state]`` the labels removed from a state with
-    the step of removal; an arc is there if its left spine was there at every step that built on it.
+    target, ``target[label]`` holds the arcs' ends. Removed arcs are kept with the step of their removal, as one
+    sorted table; an arc is there if its left spine was there at every step that built on it.
+
+    A word has one accepted path. It is found from its start by taking the longest arc that spells the rest, then
+    shorter ones; as the prefix of a path has one path too, a place that led nowhere is not tried again. Whether
+    a state has an arc is worked out when first asked, then looked up in a table.
     """
 
+    #: Entries of the arc table; it is forgotten, all at once, when there are more.
+    MAX_ARCS = 400_000
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         ids = vocabulary.ids
-        self.label = {i: s for s, i in ids.items()}
         self.target: dict[int, int] = {}
         self.built: dict[int, tuple[int, int]] = {}
-        self.gone: list[dict[int, int]] = [{}]
+        gone: list[dict[int, int]] = [{}]
         sharing = {0: 1 << 60}
-        target, gone, built = self.target, self.gone, self.built
+        target, built = self.target, self.built
         for step, (left, right) in enumerate(vocabulary.merges):
             u, v, w = ids[left], ids[right], ids[left + right]
             old = target.get(u, 0)
@@ -213,9 +220,14 @@ class Automaton:
                 built[w] = (u, step)
                 target[w] = behind
                 sharing[behind] += 1
+        removed = sorted((state << 20 | label, step) for state, labels in enumerate(gone) for label, step in labels.items())
+        self.n_states = len(gone)
+        self.removed = array("q", [r[0] for r in removed])
+        self.removed_at = array("i", [r[1] for r in removed])
         # a trie over the labels finds the arcs that spell the rest of a word; a symbol is a byte, plus 256 at a word's end
         self.step: dict[int, int] = {}
         self.label_at: list[int] = [-1]
+        self.length = [0] * (max(ids.values()) + 1)
         code = {c: b for b, c in enumerate(vocabulary.alphabet)}
         end = vocabulary.word_end
         for token, number in ids.items():
@@ -225,66 +237,93 @@ class Automaton:
                 codes[-1] += 256
             if number not in built and len(codes) > 1:
                 continue  # no merge makes it
+            self.length[number] = len(codes)
             node = 0
             for symbol in codes:
                 node = self.step.setdefault(node << 9 | symbol, len(self.label_at))
                 if node == len(self.label_at):
                     self.label_at.append(-1)
             self.label_at[node] = number
+        # the next shorter label that a label begins with
+        self.shorter = [-1] * len(self.length)
+        above = {0: -1}
+        for key, node in sorted(self.step.items(), key=lambda kv: kv[1]):  # a node's parent is older than the node
+            nearest = above[key >> 9]
+            label = self.label_at[node]
+            if label >= 0:
+                self.shorter[label] = nearest
+            above[node] = label if label >= 0 else nearest
         self.known: dict[int, bool] = {}
         self.pattern = regex.compile(WORD_PATTERN if vocabulary.word_end else BYTE_PATTERN)
-        self.words = BoundedCache(self.encode_word)
-        self.chunks = BoundedCache(self._encode_chunk, 150_000)
+        self.words = BoundedCache(self.encode_word, 60_000)
+        self.chunks = BoundedCache(self._encode_chunk, 120_000)
 
-    def has_arc(self, state: int, label: int) -> bool:
-        """Whether the arc ``label`` leaves ``state`` after all gadgets; looked up once, then table-driven."""
+    def _removal(self, state: int, label: int) -> int | None:
         key = state << 20 | label
-        found = self.known.get(key)
-        if found is None:
-            gone, needed = self.gone[state], 1 << 60
-            found, part = True, label
-            while True:
-                if gone.get(part, 1 << 61) <= needed:  # removed before, or by the gadget of a doubled label itself
-                    found = False
-                    break
-                if part not in self.built:
-                    break
-                part, needed = self.built[part]
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            self.known[key] = found
+        i = bisect.bisect_left(self.removed, key)
+        return self.removed_at[i] if i < len(self.removed) and self.removed[i] == key else None
+
+    def has_arc(self, state: int, label: int) -> bool:
+        """Whether the arc ``label`` leaves ``state`` after all gadgets."""
+        needed = 1 << 60
+        while True:
+            when = self._removal(state, label)
+            if when is not None and when <= needed:  # before, or by the gadget of a doubled label itself
+                return False
+            if label not in self.built:
+                return True
+            label, needed = self.built[label]
+
+    def _learn(self, key: int) -> bool:
+        if len(self.known) >= self.MAX_ARCS:
+            self.known.clear()
+        found = self.known[key] = self.has_arc(key >> 20, key & 0xFFFFF)
         return found
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The labels of the one accepted path that spells a pre-split word."""
         codes = list(word.encode("utf-8", "replace"))
         n = len(codes)
-        if self.vocabulary.word_end and n:
+        if not n:
+            return ()
+        if self.vocabulary.word_end:
             codes[-1] += 256
-        step, label_at, target, known = self.step, self.label_at, self.target, self.known
-        state = [0] + [-1] * n
-        arc = [(-1, -1)] * (n + 1)
-        for i in range(n):
-            q = state[i]
-            if q < 0:
+        step, label_at, length, shorter, known, target = self.step.get, self.label_at, self.length, self.shorter, self.known, self.target
+        dead = bytearray(n + 1)
+        out: list[int] = []
+        states = [0]
+        at, fresh = 0, True
+        label = -1
+        while True:
+            if fresh:  # the longest label from here
+                label, node, j = -1, 0, at
+                while j < n:
+                    node = step(node << 9 | codes[j])
+                    if node is None:
+                        break
+                    if label_at[node] >= 0:
+                        label = label_at[node]
+                    j += 1
+            left = states[-1] << 20
+            while label >= 0:
+                if not dead[at + length[label]]:
+                    there = known.get(left | label)
+                    if there or there is None and self._learn(left | label):
+                        break
+                label = shorter[label]
+            if label < 0:
+                dead[at] = 1
+                label = out.pop()
+                states.pop()
+                at -= length[label]
+                label, fresh = shorter[label], False
                 continue
-            node = 0
-            for j in range(i, n):
-                node = step.get(node << 9 | codes[j], -1)
-                if node < 0:
-                    break
-                label = label_at[node]
-                if label >= 0 and state[j + 1] < 0:
-                    there = known.get(q << 20 | label)
-                    if there or there is None and self.has_arc(q, label):
-                        state[j + 1] = target.get(label, 0)
-                        arc[j + 1] = (i, label)
-        out = []
-        while n > 0:
-            n, label = arc[n]
             out.append(label)
-        out.reverse()
-        return tuple(out)
+            at += length[label]
+            if at == n:
+                return tuple(out)
+            states.append(target.get(label, 0))
+            fresh = True
 
     def normalize(self, text: str) -> str:
         if text.isascii():
@@ -292,19 +331,31 @@ class Automaton:
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(i for w in self.pattern.findall(self.normalize(chunk)) for i in self.words[w])
+    def _encode_chunk(self, chunk: str) -> tuple[bytes, str]:
+        text = self.normalize(chunk)
+        if text.isascii() and text.isalpha():
+            ids = self.encode_word(text)
+        else:
+            ids = tuple(i for w in self.pattern.findall(text) for i in self.words[w])
+        return array("i", ids).tobytes(), self.decode(ids)
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; the strings of added tokens give their own ids."""
-        out: list[int] = []
+    def encode_both(self, text: str) -> tuple[bytes, str]:
+        """Ids (little-endian 32-bit) of a whole text, and what they decode to. Added tokens give their own ids.
+
+        Only for vocabularies that drop white space: line ends and blanks bound chunks.
+        """
+        found: list[tuple[bytes, str]] = []
         for k, part in enumerate(self.vocabulary.parts(text)):
             if k % 2:
-                out.append(self.vocabulary.special[part])
+                ids = [self.vocabulary.special[part]]
+                found.append((array("i", ids).tobytes(), self.decode(ids)))
             else:
-                for ids in map(self.chunks.__getitem__, part.split(" ")):
-                    out += ids
-        return out
+                found += map(self.chunks.__getitem__, part.replace("\n", " ").split(" "))
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return array("i", self.encode_both(text)[0]).tolist()
 
     def decode(self, ids) -> str:
         """The arc labels, joined as the library joins tokens where a file names no decoder."""
@@ -315,5 +366,5 @@ class Automaton:
 def per_label(automaton: Automaton) -> dict[int, str]:
     names = automaton.__dict__.get("_names")
     if names is None:
-        names = automaton._names = automaton.label | {i: s for s, i in automaton.vocabulary.special.items()}
+        names = automaton._names = {i: s for s, i in (automaton.vocabulary.ids | automaton.vocabulary.special).items()}
     return names

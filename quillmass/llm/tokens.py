@@ -7,6 +7,8 @@ checked); executors need not have it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,22 +58,20 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 512) -> Dat
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def _automaton(vocabulary: bpe.Vocabulary) -> bpe.Automaton:
-    return bpe.Automaton(vocabulary)
-
-
-def encode(spark: SparkSession, text: Column, vocabulary: str) -> Column:
-    """Token ids (array of int) by the tokenization automaton; null and blank texts give an empty array."""
-    shared = broadcast_vocabulary(spark, vocabulary)
-
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        import numpy as np
+#: Texts of about so many characters are encoded at a time, so that a batch's ids stay few.
+SLICE = 1 << 20
 
-        automaton = _built(shared, _automaton, "automaton")
-        return pd.Series([np.array(automaton.encode(t), dtype=np.int32) for t in texts], dtype=object)
 
-    return encoded(F.coalesce(text.cast("string"), F.lit("")))
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def decode(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
@@ -80,23 +80,28 @@ def decode(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("string")
     def decoded(lists: pd.Series) -> pd.Series:
-        automaton = _built(shared, _automaton, "automaton")
+        automaton = _built(shared, bpe.Automaton, "automaton")
         return pd.Series([automaton.decode(x) for x in lists], dtype=object)
 
     return decoded(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids, decoded for every row: the ids of the whole text, and what they decode to."""
-    spark = documents.sparkSession
-    shared = broadcast_vocabulary(spark, vocabulary)
+    """doc_id, ids, decoded for every row: the ids of the whole text by the automaton, and what they decode to."""
+    shared = broadcast_vocabulary(documents.sparkSession, vocabulary)
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
-
-        automaton = _built(shared, _automaton, "automaton")
-        ids = [automaton.encode(t) for t in texts]
-        return pd.DataFrame({"ids": pd.Series([np.array(x, dtype=np.int32) for x in ids], dtype=object), "decoded": pd.Series([automaton.decode(x) for x in ids], dtype=object)})
-
-    return documents.select("doc_id", both(text_or_empty()).alias("_both")).select("doc_id", "_both.ids", "_both.decoded")
+        import pyarrow as pa
+
+        automaton = _built(shared, bpe.Automaton, "automaton")
+        for batch in batches:
+            at = 0
+            for texts in _slices(batch.column(1).to_pylist()):
+                both = [automaton.encode_both(t) for t in texts]
+                ends = np.cumsum([0] + [len(b[0]) // 4 for b in both]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([b[0] for b in both]), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids, pa.array([b[1] for b in both], pa.string())], names=["doc_id", "ids", "decoded"])
+                at += len(texts)
+
+    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
