@@ -255,8 +255,8 @@ class Automaton:
             above[node] = label if label >= 0 else nearest
         self.known: dict[int, bool] = {}
         self.pattern = regex.compile(WORD_PATTERN if vocabulary.word_end else BYTE_PATTERN)
-        self.words = BoundedCache(self.encode_word, 60_000)
-        self.chunks = BoundedCache(self._encode_chunk, 120_000)
+        self.words = BoundedCache(self.encode_word, 150_000)
+        self.chunks = BoundedCache(self._encode_chunk, 200_000)
 
     def _removal(self, state: int, label: int) -> int | None:
         key = state << 20 | label
@@ -334,9 +334,10 @@ class Automaton:
     def _encode_chunk(self, chunk: str) -> tuple[bytes, str]:
         text = self.normalize(chunk)
         if text.isascii() and text.isalpha():
-            ids = self.encode_word(text)
+            ids = self.words[text]  # the word of other chunks, too: with a comma, or a capital
         else:
-            ids = tuple(i for w in self.pattern.findall(text) for i in self.words[w])
+            found = self.pattern.findall(text)
+            ids = self.words[found[0]] if len(found) == 1 else tuple([i for w in found for i in self.words[w]])
         return array("i", ids).tobytes(), self.decode(ids)
 
     def encode_both(self, text: str) -> tuple[bytes, str]:
