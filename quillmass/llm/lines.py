@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, stored
 
-#: Lines of more words take the windowed way to their variants, whose cost stays linear in the words.
-LONG = 256
+#: Lines of more words take the windowed way to their variants, whose cost stays linear in the words. Up to here the
+#: running arrays of a line copy at most half a million numbers, which is cheaper than a shuffle of its words.
+LONG = 1024
 #: Candidate lines (two hashes and a place each) are broadcast up to this number, and joined by shuffle beyond it.
 MAX_BROADCAST_ROWS = 250_000
 
