@@ -190,25 +190,25 @@ def links(distinct: DataFrame, reach: int = 2, max_bucket: int = MAX_BUCKET) ->
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of an edge reaches.
 
-    Every round takes the smallest root among a node's neighbours, then follows roots one step (pointer jumping).
-    A node has few neighbours (fingerprints in reach), so no group grows with a component.
+    FastSV: in every round a node takes the smallest grandparent among its neighbours, its parent is hooked to that
+    too, and parents are followed one step. So trees merge by their roots, and the rounds grow with the logarithm of
+    a component's size, not with its diameter; they go on until nothing changes. Groups are only ever reduced to a minimum.
     """
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    roots = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")))
-    for _ in range(rounds):
-        heard = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("offer")), "other").groupBy("node").agg(F.min("offer").alias("offer"))
-        nearer = cut(roots.join(heard, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("via")))
-        jump = nearer.select(F.col("node").alias("via"), F.col("via").alias("next"))
-        roots = cut(nearer.join(jump, "via", "left").select("node", "was", F.least("via", F.coalesce("next", "via")).alias("root")))
-        if roots.filter("root < was").isEmpty():
-            break
-        roots = roots.select("node", "root")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return roots.select("node", "root")
+    nodes = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("up")).select("node", "up", F.col("node").alias("top")))
+    while True:
+        heard = both.join(nodes.select(F.col("node").alias("other"), F.col("top").alias("offer")), "other").groupBy("node").agg(F.min("offer").alias("offer"))
+        via = cut(nodes.join(heard, "node", "left").select("node", "up", F.col("top").alias("was"), F.least("up", "top", "offer").alias("via")))
+        hooks = via.groupBy(F.col("up").alias("node")).agg(F.min("via").alias("hook"))
+        hooked = cut(via.join(hooks, "node", "left").select("node", "was", F.least("via", "hook").alias("up")))
+        above = hooked.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        found = cut(hooked.join(above, "up").select("node", "up", "was", "top"))
+        if found.filter("top <> was OR up <> top").isEmpty():
+            return found.select("node", F.col("up").alias("root"))
+        nodes = found.select("node", "up", "top")
 
 
 def _classes(found: DataFrame, reach: int) -> DataFrame:

@@ -86,6 +86,17 @@ def test_links_with_large_buckets(spark, max_bucket):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("order", ["falling", "random"])
+def test_long_chains_are_one_component(spark, order):
+    """Several hundred fingerprints, each within reach of the next only."""
+    ids = list(range(400, 0, -1))
+    if order == "random":
+        random.Random(3).shuffle(ids)
+    df = spark.createDataFrame([*zip(ids, ids[1:]), (1001, 1000)], "a long, b long")
+    found = {r.node: r.root for r in simhash.components(df).collect()}
+    assert found == dict.fromkeys(ids, 1) | {1000: 1000, 1001: 1000}
+
+
 def test_allocation_sums_and_choices():
     cost, chosen = simhash.allocate([{-1: 0, 0: 5, 1: 50}, {-1: 0, 0: 1, 1: 2}], 1)
     assert (cost, chosen) == (7, [0, 1])
