@@ -229,15 +229,155 @@ def near_duplicates(documents: DataFrame, words: int = 3, reach: int = 2) -> Dat
     return found.join(by_fingerprint, "f").select("doc_id", shown, "component_id")
 
 
-def keep_first(documents: DataFrame, words: int = 5, reach: int = 2) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id (then of the smallest text hash).
+def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles, which stand for its set of shingles. A blank text has one, 0."""
+    import xxhash
+
+    w = text.lower().split()
+    if not w:
+        return np.zeros(1, np.int64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(s, 42) for s in shingles), dtype="<u8", count=max(1, len(w) - words + 1)).view(np.int64))
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 43)).view(np.int64))
+
+
+def _as_texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
+
+
+def common_shingles(documents: DataFrame, words: int, share: int = 16, least: int = 8, most: int = 200_000) -> np.ndarray:
+    """Hashes of shingles that stand in many texts, as far as a part of the texts shows them. They only order prefixes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [shingle_hashes(t, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["h"])
+
+    part = documents.select(text_or_empty().alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+    counts = part.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= least)
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()], np.int64))
+
+
+def prefixes(documents: DataFrame, words: int, common: np.ndarray) -> DataFrame:
+    """doc_id, text_key, f (a hash of the set of shingles), n (its size), odd (a sketch) and its prefix, for every row.
 
-    Rows that repeat both id and text are one document, of which one row stays. A row without id stays only if its
-    component has none with an id. Null texts are no copies of each other; all of them stay.
+    Sets of similarity 4/5 or more share at least 4/5 of the larger one, so in any one order of all shingles the first
+    n - ceil(4n/5) + 1 of each have one in common. The order puts common shingles last. The sketch has 512 bits, each
+    the parity of the shingles that fall on it: two sets differ in at least as many shingles as their sketches in bits.
+    """
+    spread = documents.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = spread.value
+        for batch in batches:
+            f, n, first, odd = [], [], [], []
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                h = shingle_hashes(t, words)
+                at = np.searchsorted(last, h)
+                late = (last[np.minimum(at, len(last) - 1)] == h) if len(last) else np.zeros(len(h), bool)
+                f.append(_set_key(h))
+                n.append(len(h))
+                odd.append(np.packbits(np.bincount(h & 511, minlength=512).astype(np.uint8) & 1, bitorder="little").view("<i8"))
+                first.append(np.concatenate([h[~late], h[late]])[: len(h) - (4 * len(h) + 4) // 5 + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "text_key", "f", "n", "odd", "prefix"])
+
+    return _as_texts(documents).mapInArrow(run, "doc_id long, text_key long, f long, n int, odd array<long>, prefix array<long>")
+
+
+def _sets(documents: DataFrame, found: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """f and hashes (the whole set) of the needed f, from one text of each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h = [shingle_hashes(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.list_(pa.int64()))], names=["f", "hashes"])
+
+    one = found.join(needed, "f", "left_semi").groupBy("f").agg(F.min(F.struct("text_key", "doc_id")).alias("one")).select("f", "one.*")
+    texts = _as_texts(documents).alias("t").join(one.alias("o"), (F.col("t.text_key") == F.col("o.text_key")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
+    return cut(texts.select("f", "text").dropDuplicates(["f"]).mapInArrow(run, "f long, hashes array<long>"))
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, found: DataFrame, distinct: DataFrame, words: int, *more: str) -> DataFrame:
+    """Those pairs (a, b, and ``more``) whose sets have a similarity of 4/5 or more.
+
+    Such sets differ in at most a ninth of the sum of their sizes, so the sketches rule most others out; the rest is
+    compared whole.
+    """
+    small = distinct.select("f", "n", "odd")
+    near = pairs.join(small.toDF("a", "na", "x"), "a").join(small.toDF("b", "nb", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    near = near.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4) & (differ * 9 <= F.col("na") + F.col("nb")))
+    near = cut(near.select("a", "b", *more))
+    if near.isEmpty():
+        return near
+    needed = near.select(F.col("a").alias("f")).unionByName(near.select(F.col("b").alias("f"))).distinct()
+    sets = _sets(documents, found, needed, words)
+    both = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common * 5 >= (F.size("x") + F.size("y") - common) * 4).select("a", "b", *more)
+
+
+def similar_classes(documents: DataFrame, found: DataFrame, words: int = 5, max_bucket: int = MAX_BUCKET, pivots: int = 3) -> DataFrame:
+    """f, root: the smallest set that each distinct set reaches over similarities of 4/5 or more, exactly.
+
+    Sets that share a shingle of their prefixes are compared. A bucket of over ``max_bucket`` sets first compares its
+    members with one of them, a few times, each time one that the components leave apart; then all of its pairs that
+    are still in different components are compared, so no link between components is lost.
+    """
+    distinct = cut(found.select("f", "n", "odd", "prefix").dropDuplicates(["f"]))
+    probes = distinct.select("f", F.explode("prefix").alias("key"))
+    sizes = cut(probes.groupBy("key").agg(F.count("*").alias("c"), F.min("f").alias("a"), F.max("f").alias("b")).filter("c > 1"))
+    more = cut(probes.join(sizes.filter("c > 2").select("key", "c"), "key"))
+    few = more.filter(F.col("c") <= max_bucket)
+    pairs = few.select("key", F.col("f").alias("a")).join(few.select("key", F.col("f").alias("b")), "key").filter("a < b").select("a", "b")
+    pairs = sizes.filter("c = 2").select("a", "b").unionByName(pairs).distinct()
+    large = more.filter(F.col("c") > max_bucket).select("key", "f")
+    roots = components(_verified(pairs, documents, found, distinct, words)).withColumnRenamed("node", "f")
+    roots = cut(distinct.select("f").join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("root")))
+    for turn in range(pivots + 1):
+        each = large.join(roots, "f")
+        several = each.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        left = cut(each.join(several, "key", "left_semi"))
+        if left.isEmpty():
+            break
+        if turn < pivots:
+            order = F.xxhash64("f", F.lit(turn))
+            one = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "f", "root")).alias("p")).select("key", F.col("p.f").alias("a"), F.col("p.root").alias("ra"))
+            ordered = F.lit(True)
+        else:
+            one = left.select("key", F.col("f").alias("a"), F.col("root").alias("ra"))
+            ordered = F.col("a") < F.col("f")
+        near = left.join(one, "key").filter(ordered & (F.col("root") != F.col("ra")))
+        linked = _verified(near.select("a", F.col("f").alias("b"), "ra", "root").distinct(), documents, found, distinct, words, "ra", "root")
+        linked = cut(linked.select(F.col("ra").alias("a"), F.col("root").alias("b")).distinct())
+        if not linked.isEmpty():
+            higher = components(linked).select(F.col("node").alias("root"), F.col("root").alias("over"))
+            roots = cut(roots.join(higher, "root", "left").select("f", F.coalesce("over", "root").alias("root")))
+    return roots
+
+
+def keep_first(documents: DataFrame, words: int = 5) -> DataFrame:
+    """One row of each component of texts whose sets of word shingles have a similarity (Jaccard) of 0.8 or more.
+
+    That of the smallest id (then of the smallest text hash) stays, with all its columns. Rows that repeat both id and
+    text are one document, of which one row stays. A row without id stays only if its component has none with an id.
+    Null texts are no copies of each other; all of them stay.
     """
     texts = documents.filter(F.col("text").isNotNull())
-    found = cut(fingerprints(texts, words))
-    classes = _classes(found, reach)
+    found = cut(prefixes(texts, words, common_shingles(texts, words)))
+    classes = similar_classes(texts, found, words)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     each = cut(found.groupBy("f").agg(F.min(order).alias("first")))
     firsts = each.join(classes, "f").groupBy("root").agg(F.min("first").alias("first")).select("first.*")

@@ -112,6 +112,47 @@ def test_keep_first(spark):
     assert found == ["1", "2", "4", "5", "6", "None"]  # 3 is blank like 2, and 4 stands once
 
 
+def brute_sets(rows):
+    """id -> smallest id reachable over Jaccard similarities of 0.8 or more of 5-word shingles."""
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and find(a) != find(b) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in sets}
+
+
+def test_planted_near_copies_equal_brute_force(spark, monkeypatch):
+    """Copies with one to eight edited words on either side of 0.8, a large group of them, and a passage in many texts."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = rng.choices(vocabulary, k=40)
+    texts = []
+    for group in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([60, 120, 240]))
+        for _ in range(1 if group % 3 else 6):
+            texts.append(" ".join(base))
+            for _ in range(25 if group == 0 else 3):
+                copy = list(base)
+                for _ in range(rng.randint(1, 8)):
+                    copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+                texts.append(" ".join(copy))
+    texts += [" ".join(passage + rng.choices(vocabulary, k=rng.choice([2, 5, 9, 200]))) for _ in range(80)]
+    rng.shuffle(texts)
+    rows = [(i, t, "en", "s", 1, None) for i, t in enumerate(texts)]
+    monkeypatch.setattr(simhash.similar_classes, "__defaults__", (5, 8, 1))  # most buckets are large
+    want = brute_sets([(i, t) for i, t, *_ in rows])
+    assert len(set(want.values())) < len(rows) - 40
+    assert sorted(r.doc_id for r in simhash.keep_first(documents(spark, rows)).collect()) == sorted(set(want.values()))
+
+
 # ---- lines
 
 
