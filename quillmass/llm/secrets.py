@@ -28,7 +28,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # runs are maximal: the same as matc
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-Za-z0-9+/_-]{31,}|30[0-9a-f]{30,}|30[0-9A-F]{30,}|AAAA[A-Za-z0-9+/]{28,}|b3BlbnNzaC1rZXk[A-Za-z0-9+/]{20,})={0,2}")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{31,}|30[0-9a-f]{30,}|30[0-9A-F]{30,}|AAAA[A-Za-z0-9+/]{28,}|b3BlbnNzaC1rZXk[A-Za-z0-9+/]{20,})={0,2}")
 
 
 def _from_base64(text: str) -> bytes | None:

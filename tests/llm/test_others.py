@@ -154,6 +154,17 @@ def test_secrets_confirmed_by_structure():
     assert text[start:end] == token
 
 
+def test_keys_after_an_equals_sign():
+    der = b"\x30\x2d\x02\x01\x00\x04\x28" + bytes(range(40))
+    ssh = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32))
+    values = [(base64.b64encode(der).decode(), "der"), (der.hex(), "der"), (der.hex().upper(), "der"), (base64.b64encode(ssh).decode(), "sshkey")]
+    for value, kind in values:
+        for before in ("PRIVATE_KEY=", "?a=b&k="):
+            text = f"{before}{value}&x"
+            assert (kind, len(before), len(before) + len(value)) in secrets.scan(text)
+            assert value not in secrets.redacted(text)
+
+
 def test_base_secrets(spark, tmp_path):
     texts = ["Password: 'abcdefghijkl' x", "token:secret:abcdefghijklmnop", "AKIAABCDEFGHIJKLMN AKIAABC", "0123456789abcdef 0123456789abcde", "ſecret=abcdefghijklmnop", "api_key = short", "apikey=0123456789abcdef0"]
     rows = [(i + 10, t, "en", "s", 1, None) for i, t in enumerate(texts)]
