@@ -190,7 +190,7 @@ def traceable_quotes(spark, d):
 
 
 def inferred_transformations(spark, d):
-    parts = table(spark, d, "part").filter("p_partkey <= 2000").select(
+    parts = table(spark, d, "part").select(
         F.col("p_partkey").alias("ord"),
         F.concat(F.when(F.col("p_size") % 2 == 0, "Malonyl ").otherwise(""), "p_name").alias("compound_name"),
         F.col("p_brand").alias("compound_class"),
