@@ -116,11 +116,46 @@ def test_top_k_equals_brute_force(spark, tmp_path):
         assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
 
 
+def brute_top_k(rows, queries, k=10):
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(rows[q], v, strict=True)), i) for i, v in rows.items() if i != q)[:k])] for q in queries}
+
+
+@pytest.mark.parametrize(("size", "dim", "spread"), [(2e5, 8, 0), (100, 8, 1), (1e4, 6, 1), (1e6, 3, 0), (1, 16, 1)])
+def test_top_k_of_large_values_in_many_cells(spark, size, dim, spread):
+    rng = np.random.default_rng(5)
+    rows = {i: [float(x) for x in rng.uniform(-1, 1, dim) * size * rng.lognormal(0, 1) ** spread] for i in range(300)}
+    rows |= {i: [abs(x) for x in rows[i]] for i in (50, 100, 150)}
+    rows[250] = rows[100]
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = {}
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, query_block=8, shard_rows=25, head_rows=20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows.items()}
+    assert {q: sorted(f) for q, f in found.items()} == brute_top_k(whole, range(0, 300, 10))
+
+
+def test_top_k_out_of_range(spark):
+    for values in ([4e6, 4e6], [1e17, 0.0]):
+        df = spark.createDataFrame([(i, [1e7 * v for v in values] if values[0] < 1e10 else values) for i in range(12)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="out of the range of long"):
+            topk.top_k(df, F.lit(True)).collect()
+    q, c = np.array([[3 << 40, -(3 << 40)]]), np.array([[5 << 40, 5 << 40], [1 << 20, 0]])
+    assert topk.products(q, c).tolist() == [[0, 3 << 60]] if (3 << 60) < 1 << 63 else True
+
+
+def test_top_k_of_one_length_and_many_dimensions(spark):
+    rows = [(i, [1.0 if j == i % 4 else 0.0 for j in range(4)]) for i in range(120)] + [(200 + i, [0.5] * (1 + i)) for i in range(30)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, query_block=2, shard_rows=16, head_rows=8).collect()
+    found = {q: [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in range(0, 120, 20)}
+    assert found == brute_top_k({i: [int(1024 * x) for x in v] for i, v in rows if i < 120}, range(0, 120, 20))
+    assert not [r for r in got if r.query_id == 200]  # the only one of its dimension
+
+
 def test_top_k_prunes_and_takes_few(spark):
     rng = np.random.default_rng(4)
     vectors = np.rint(rng.normal(0, 50, (4000, 16)) * rng.lognormal(0, 1.5, (4000, 1))).astype(np.int64)
     _, turn = np.linalg.eigh(vectors.T.astype(float) @ vectors)
-    scan = topk.Scan(np.arange(20), vectors[:20], turn[:, ::-1], 10)
+    scan = topk.Scan(np.arange(20), vectors[:20], [(0, turn[:, ::-1])], 10)
     scan.walk(np.arange(4000), vectors)
     assert scan.pairs_computed < 20 * 4000 / 2
     few = spark.createDataFrame([(0, [1.0]), (100, [2.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
