@@ -10,15 +10,20 @@ line is one insertion apart. Such buckets are stars, so each member is compared
 no bucket is paired up. Candidates are verified on the words. Variants are emitted only by lines that share their
 first or last half with another line: of two lines within one edit, one half is the same, so none is lost.
 
-Repeated rows (same id and text) are treated as one document and all get its result. Null texts stay null.
+An edit is one in five words or more: shorter lines go only if equal, so that "a b" does not drop "a c".
+
+Repeated rows (same id and text) are treated as one document and all get its result. Null texts stay null. Ids are
+read as longs (others count as null). Ties cannot occur: equal lines of one document differ in their place. An
+empty table gives an empty one; extra columns stay whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, stored
+from .common import cut, fresh, stored
 
 #: Lines of more words take the windowed way to their variants, whose cost stays linear in the words. Up to here the
 #: running arrays of a line copy at most half a million numbers, which is cheaper than a shuffle of its words.
@@ -70,11 +75,11 @@ def _short_variants(lines: DataFrame) -> DataFrame:
 def _long_variants(lines: DataFrame) -> DataFrame:
     """The same keys by windows over exploded words, for lines of any length."""
     words = lines.select("a", "b", "n", F.posexplode("words").alias("i", "w")).withColumn("here", F.xxhash64("w", "i")).withColumn("moved", F.xxhash64("w", F.col("i") - 1))
-    words.createOrReplaceTempView("_llm_long_line_words")
-    return words.sparkSession.sql(
-        "SELECT a, b, n, i, (bit_xor(here) OVER up ^ here) ^ (bit_xor(moved) OVER (PARTITION BY a, b) ^ bit_xor(moved) OVER up) AS variant "
-        "FROM _llm_long_line_words WINDOW up AS (PARTITION BY a, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
+    line = Window.partitionBy("a", "b")
+    up = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.bit_xor("here").over(up).bitwiseXOR(F.col("here"))
+    behind = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(up))
+    return words.select("a", "b", "n", "i", before.bitwiseXOR(behind).alias("variant"))
 
 
 def _within_one(x: Column, y: Column) -> Column:
@@ -153,22 +158,42 @@ def dropped_lines(documents: DataFrame, min_words: int = 5, label: str = "lines"
     return places.groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))  # at most a document's lines
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 5, label: str = "lines") -> DataFrame:
-    """All rows and columns, text without its dropped lines, and _places (the dropped line numbers, null for none)."""
-    gone = dropped_lines(documents, min_words, label).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("places").alias("_places"))
-    joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_places", i))
-    text = F.when(F.col("_places").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*documents.columns, "_places")
+def without_places(text: Column, places: Column) -> Column:
+    """The text without the lines at ``places`` (sorted, from 0): what stands between two of them is one slice.
+
+    The lists pass through lambda variables, so they are computed once, and slices do not overlap: the cost is linear.
+    """
+
+    def cleaned(x: Column) -> Column:
+        lines, gone = x["lines"], x["gone"]
+        starts = F.concat(F.array(F.lit(1)), F.transform(gone, lambda p: p + 2))
+        ends = F.concat(gone, F.array(F.size(lines)))  # as places from 0, these are the numbers from 1 of the lines before
+        between = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda g: F.slice(lines, g["s"], g["e"] - g["s"] + 1))
+        return F.array_join(F.flatten(between), "\n")
+
+    return F.element_at(F.transform(F.array(F.struct(F.split(text, "\n").alias("lines"), places.alias("gone"))), cleaned), 1)
+
+
+def dedup_lines(documents: DataFrame, min_words: int = 5, label: str = "lines", places: str = "dropped_places") -> DataFrame:
+    """All rows and columns, text without its dropped lines, and ``places`` (the dropped line numbers, null for none).
+
+    ``documents`` must not have a column named ``places``; every other name is free.
+    """
+    doc, key = fresh([*documents.columns, places], "doc", "key")
+    gone = dropped_lines(documents, min_words, label).toDF(doc, key, places)
+    joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(places).isNotNull(), without_places(F.col("text"), F.col(places))).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*documents.columns, places)
 
 
 def line_report(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (without dropped lines) for every row; null texts have no lines."""
     marked = dedup_lines(documents.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")), min_words)
-    return marked.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).alias("n_dropped"), "text")
+    return marked.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped_places"), F.lit(0)).alias("n_dropped"), "text")
 
 
 def keep_new_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """The same columns; documents whose every line was dropped go, all others stay (blank and null ones too)."""
-    marked = dedup_lines(documents, min_words)
-    return marked.filter(F.col("_places").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != "")).select(*documents.columns)
+    (places,) = fresh(documents.columns, "places")
+    marked = dedup_lines(documents, min_words, places=places)
+    return marked.filter(F.col(places).isNull() | (F.btrim("text", F.lit(" \t\r\n")) != "")).select(*documents.columns)
