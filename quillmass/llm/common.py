@@ -2,55 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import cut, drop_stored, shared_dir, stored, stored_count  # noqa: F401 - for the modules of this package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillmass-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it, without lineage, in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (for wide rows that are read by column)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
-    df.write.option("compression", "zstd").parquet(path)
-    _STORED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_STORED: list = []
-
-
-def drop_stored() -> None:
-    """Delete the tables that stored() wrote. Call it when their results have been consumed."""
-    while _STORED:
-        spark, path = _STORED.pop()
-        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+def fresh(taken, *names: str) -> list[str]:
+    """Names for work columns that none of the ``taken`` columns has, in whatever case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(column: str = "text"):

@@ -22,13 +22,15 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, fresh, stored, text_or_empty
 
 BITS = 64
 MAX_BUCKET = 64
+#: Rows of three longs are broadcast up to this number, and joined by shuffle beyond it.
+MAX_BROADCAST_ROWS = 250_000
 #: A probe's cost against that of verifying one candidate, and of one key of the exact way.
 PROBE_COST = 2.0
 
@@ -251,8 +253,11 @@ def _as_texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
 
 
-def common_shingles(documents: DataFrame, words: int, share: int = 16, least: int = 8, most: int = 200_000) -> np.ndarray:
-    """Hashes of shingles that stand in many texts, as far as a part of the texts shows them. They only order prefixes."""
+def common_shingles(documents: DataFrame, words: int, share: int = 16, least: int = 3, most: int = 1_000_000) -> np.ndarray:
+    """Hashes (at most ``most``, 8 bytes each) of shingles that stand in many texts, as far as a part of the texts shows them.
+
+    They only order prefixes, so that these hold few of them: any order gives the same links.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -266,12 +271,17 @@ def common_shingles(documents: DataFrame, words: int, share: int = 16, least: in
     return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()], np.int64))
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """A power of two of bits, at least 512 and two for each shingle; each is the parity of the shingles that fall on it."""
+    bits = max(512, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount(hashes & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
 def prefixes(documents: DataFrame, words: int, common: np.ndarray) -> DataFrame:
     """doc_id, text_key, f (a hash of the set of shingles), n (its size), odd (a sketch) and its prefix, for every row.
 
     Sets of similarity 4/5 or more share at least 4/5 of the larger one, so in any one order of all shingles the first
-    n - ceil(4n/5) + 1 of each have one in common. The order puts common shingles last. The sketch has 512 bits, each
-    the parity of the shingles that fall on it: two sets differ in at least as many shingles as their sketches in bits.
+    n - ceil(4n/5) + 1 of each have one in common. The order puts common shingles last.
     """
     spread = documents.sparkSession.sparkContext.broadcast(common)
 
@@ -287,7 +297,7 @@ def prefixes(documents: DataFrame, words: int, common: np.ndarray) -> DataFrame:
                 late = (last[np.minimum(at, len(last) - 1)] == h) if len(last) else np.zeros(len(h), bool)
                 f.append(_set_key(h))
                 n.append(len(h))
-                odd.append(np.packbits(np.bincount(h & 511, minlength=512).astype(np.uint8) & 1, bitorder="little").view("<i8"))
+                odd.append(_sketch(h))
                 first.append(np.concatenate([h[~late], h[late]])[: len(h) - (4 * len(h) + 4) // 5 + 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "text_key", "f", "n", "odd", "prefix"])
 
@@ -304,22 +314,34 @@ def _sets(documents: DataFrame, found: DataFrame, needed: DataFrame, words: int)
             h = [shingle_hashes(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.list_(pa.int64()))], names=["f", "hashes"])
 
-    one = found.join(needed, "f", "left_semi").groupBy("f").agg(F.min(F.struct("text_key", "doc_id")).alias("one")).select("f", "one.*")
+    one = cut(found.join(needed, "f", "left_semi").groupBy("f").agg(F.min(F.struct("text_key", "doc_id")).alias("one")).select("f", "one.*"))
+    if one.count() <= MAX_BROADCAST_ROWS:  # three longs each; then no text is shuffled
+        one = F.broadcast(one)
     texts = _as_texts(documents).alias("t").join(one.alias("o"), (F.col("t.text_key") == F.col("o.text_key")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
-    return cut(texts.select("f", "text").dropDuplicates(["f"]).mapInArrow(run, "f long, hashes array<long>"))
+    return cut(texts.select("f", "text").mapInArrow(run, "f long, hashes array<long>").dropDuplicates(["f"]))
+
 
+def _alike(x: str, y: str) -> Column:
+    """In how many bits two sketches differ; one of twice the bits is folded first. Their sets differ in at least as many."""
 
-def _verified(pairs: DataFrame, documents: DataFrame, found: DataFrame, distinct: DataFrame, words: int, *more: str) -> DataFrame:
-    """Those pairs (a, b, and ``more``) whose sets have a similarity of 4/5 or more.
+    def folded(sketch: str, other: str) -> Column:
+        half = F.size(other)
+        return F.when(F.size(sketch) > half, F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(sketch))
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, found: DataFrame, words: int, *more: str) -> DataFrame:
+    """Those pairs (a, b, na, nb, and ``more``) whose sets have a similarity of 4/5 or more.
 
     Such sets differ in at most a ninth of the sum of their sizes, so the sketches rule most others out; the rest is
     compared whole.
     """
-    small = distinct.select("f", "n", "odd")
-    near = pairs.join(small.toDF("a", "na", "x"), "a").join(small.toDF("b", "nb", "y"), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    near = near.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4) & (differ * 9 <= F.col("na") + F.col("nb")))
-    near = cut(near.select("a", "b", *more))
+    pairs = cut(pairs)
+    involved = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
+    small = cut(found.select("f", "odd").join(involved, "f", "left_semi").dropDuplicates(["f"]))
+    near = pairs.join(small.toDF("a", "x"), "a").join(small.toDF("b", "y"), "b")
+    near = cut(near.filter(_alike("x", "y") * 9 <= F.col("na") + F.col("nb")).select("a", "b", *more))
     if near.isEmpty():
         return near
     needed = near.select(F.col("a").alias("f")).unionByName(near.select(F.col("b").alias("f"))).distinct()
@@ -329,43 +351,89 @@ def _verified(pairs: DataFrame, documents: DataFrame, found: DataFrame, distinct
     return both.filter(common * 5 >= (F.size("x") + F.size("y") - common) * 4).select("a", "b", *more)
 
 
-def similar_classes(documents: DataFrame, found: DataFrame, words: int = 5, max_bucket: int = MAX_BUCKET, pivots: int = 3) -> DataFrame:
+def _sized(pairs: DataFrame) -> DataFrame:
+    """Pairs whose sizes allow a similarity of 4/5."""
+    return pairs.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4))
+
+
+def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, f, n, similar, probe: each set's difference from its hub, as much of it as links can show in.
+
+    Let set A differ from the hub in d(A) shingles. A and B differ in d(A) + d(B) - 2s, where their differences share s.
+    A link means at most (n(A) + n(B)) / 9. If B is not linked to the hub, d(B) > (n(B) + n(hub)) / 9, so a link of the
+    two needs s > (d(A) + (n(hub) - n(A)) / 9) / 2; and, as s <= d(A) and n(A) <= 5/4 n(B), it needs s >= d(B) - n(B) / 4.
+    Hence the two share one of the first shingles of their differences in any one order: of as many as that leaves for
+    A, which is linked to the hub, and for B, which is not. Shingles that the hub lacks come first; few sets have them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            similar, probe = [], []
+            given = zip(batch["n"].to_pylist(), batch["nh"].to_pylist(), batch["x"], batch["y"], strict=True)
+            for n, nh, x, y in given:
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                own, lacked = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                d = len(own) + len(lacked)
+                similar.append(9 * d <= n + nh)
+                most = d - (9 * d + nh - n) // 18 if similar[-1] else min(d, n // 4 + 1)
+                probe.append(np.concatenate([own, lacked])[:most])
+            yield pa.RecordBatch.from_arrays([batch["hub"], batch["f"], batch["n"], pa.array(similar, pa.bool_()), pa.array(probe, pa.list_(pa.int64()))], names=["hub", "f", "n", "similar", "probe"])
+
+    both = rows.join(sets.toDF("f", "x"), "f").join(sets.toDF("hub", "y"), "hub").select("hub", "f", "n", "nh", "x", "y")
+    return cut(both.mapInArrow(run, "hub long, f long, n int, similar boolean, probe array<long>"))
+
+
+def _links_of_large(large: DataFrame, documents: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """a, b: links that connect what the large buckets (key, f, n) link.
+
+    A bucket's hub is the member that stands in most large buckets, and all members are compared with it. Jaccard
+    distance is a metric: a set over 0.4 from the hub has no link to one within 0.2 of it, which sketches show at once.
+    Sets between these meet those that are linked to the hub by what they differ from it in. So buckets of copies of
+    one text are never paired up; sets that are not linked to their hub are paired up among themselves, once for a hub.
+    """
+    degree = large.groupBy("f").agg(F.count("*").alias("degree"))
+    first = F.max_by(F.struct("f", "n"), F.struct("degree", "f")).alias("h")
+    hubs = large.join(degree, "f").groupBy("key").agg(first).select("key", F.col("h.f").alias("hub"), F.col("h.n").alias("nh"))
+    rows = cut(large.join(hubs, "key").filter("f <> hub").select("hub", "nh", "f", "n").distinct())
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.select("f").unionByName(df.select(F.col("hub").alias("f"))).distinct()
+
+    sketches = cut(found.select("f", "odd").join(ends(rows), "f", "left_semi").dropDuplicates(["f"]))
+    both = rows.join(sketches.toDF("f", "x"), "f").join(sketches.toDF("hub", "y"), "hub")
+    near = cut(both.filter(_alike("x", "y") * 4 <= F.col("n") + F.col("nh")).select("hub", "nh", "f", "n"))
+    deltas = _differences(near, _sets(documents, found, ends(near), words))
+    starred = cut(deltas.filter("similar").select(F.col("hub").alias("a"), F.col("f").alias("b")))
+    side = lambda similar, f, n: deltas.filter(F.col("similar") == similar).select("hub", F.col("f").alias(f), F.col("n").alias(n), F.explode("probe").alias("t"))
+    pairs = side(True, "a", "na").join(side(False, "b", "nb"), ["hub", "t"]).select("a", "b", "na", "nb")
+    apart = rows.join(starred.select(F.col("a").alias("hub"), F.col("b").alias("f")), ["hub", "f"], "left_anti")
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.25))  # sizes of a link differ by one band at most
+    left = apart.select("hub", F.col("f").alias("a"), F.col("n").alias("na"), band.alias("band"))
+    right = apart.select("hub", F.col("f").alias("b"), F.col("n").alias("nb"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    alike = left.join(right, ["hub", "band"]).filter("a < b").select("a", "b", "na", "nb")
+    return starred.unionByName(_verified(_sized(pairs.unionByName(alike)).distinct(), documents, found, words))
+
+
+def similar_classes(documents: DataFrame, found: DataFrame, words: int = 5, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """f, root: the smallest set that each distinct set reaches over similarities of 4/5 or more, exactly.
 
-    Sets that share a shingle of their prefixes are compared. A bucket of over ``max_bucket`` sets first compares its
-    members with one of them, a few times, each time one that the components leave apart; then all of its pairs that
-    are still in different components are compared, so no link between components is lost.
+    Sets that share a shingle of their prefixes are compared, if their sizes allow the similarity; buckets of over
+    ``max_bucket`` sets go by the differences from their hubs.
     """
-    distinct = cut(found.select("f", "n", "odd", "prefix").dropDuplicates(["f"]))
-    probes = distinct.select("f", F.explode("prefix").alias("key"))
-    sizes = cut(probes.groupBy("key").agg(F.count("*").alias("c"), F.min("f").alias("a"), F.max("f").alias("b")).filter("c > 1"))
-    more = cut(probes.join(sizes.filter("c > 2").select("key", "c"), "key"))
-    few = more.filter(F.col("c") <= max_bucket)
-    pairs = few.select("key", F.col("f").alias("a")).join(few.select("key", F.col("f").alias("b")), "key").filter("a < b").select("a", "b")
-    pairs = sizes.filter("c = 2").select("a", "b").unionByName(pairs).distinct()
-    large = more.filter(F.col("c") > max_bucket).select("key", "f")
-    roots = components(_verified(pairs, documents, found, distinct, words)).withColumnRenamed("node", "f")
-    roots = cut(distinct.select("f").join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("root")))
-    for turn in range(pivots + 1):
-        each = large.join(roots, "f")
-        several = each.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        left = cut(each.join(several, "key", "left_semi"))
-        if left.isEmpty():
-            break
-        if turn < pivots:
-            order = F.xxhash64("f", F.lit(turn))
-            one = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "f", "root")).alias("p")).select("key", F.col("p.f").alias("a"), F.col("p.root").alias("ra"))
-            ordered = F.lit(True)
-        else:
-            one = left.select("key", F.col("f").alias("a"), F.col("root").alias("ra"))
-            ordered = F.col("a") < F.col("f")
-        near = left.join(one, "key").filter(ordered & (F.col("root") != F.col("ra")))
-        linked = _verified(near.select("a", F.col("f").alias("b"), "ra", "root").distinct(), documents, found, distinct, words, "ra", "root")
-        linked = cut(linked.select(F.col("ra").alias("a"), F.col("root").alias("b")).distinct())
-        if not linked.isEmpty():
-            higher = components(linked).select(F.col("node").alias("root"), F.col("root").alias("over"))
-            roots = cut(roots.join(higher, "root", "left").select("f", F.coalesce("over", "root").alias("root")))
-    return roots
+    probes = found.select("f", "n", F.explode("prefix").alias("key"))
+    shared = cut(probes.groupBy("key").agg(F.min("f").alias("a"), F.max("f").alias("b")).filter("a < b").select("key"))
+    members = cut(probes.join(shared, "key", "left_semi").distinct())
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("c")))
+    few = members.join(sizes.filter(F.col("c") <= max_bucket), "key").drop("c")
+    pairs = _sized(few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").filter("a < b")).select("a", "b", "na", "nb").distinct()
+    links = _verified(pairs, documents, found, words)
+    large = cut(members.join(sizes.filter(F.col("c") > max_bucket).select("key"), "key", "left_semi"))
+    if not large.isEmpty():
+        links = links.unionByName(_links_of_large(large, documents, found, words))
+    roots = components(links).withColumnRenamed("node", "f")
+    return cut(found.select("f").distinct().join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("root")))
 
 
 def keep_first(documents: DataFrame, words: int = 5) -> DataFrame:
@@ -373,17 +441,18 @@ def keep_first(documents: DataFrame, words: int = 5) -> DataFrame:
 
     That of the smallest id (then of the smallest text hash) stays, with all its columns. Rows that repeat both id and
     text are one document, of which one row stays. A row without id stays only if its component has none with an id.
-    Null texts are no copies of each other; all of them stay.
+    Null texts are no copies of each other; all of them stay. An empty table stays empty; extra columns of any name stay.
     """
     texts = documents.filter(F.col("text").isNotNull())
-    found = cut(prefixes(texts, words, common_shingles(texts, words)))
+    found = stored(prefixes(texts, words, common_shingles(texts, words)), "shingles")
     classes = similar_classes(texts, found, words)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     each = cut(found.groupBy("f").agg(F.min(order).alias("first")))
     firsts = each.join(classes, "f").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     repeats = found.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.count("*").alias("rows"))
-    firsts = cut(firsts.join(repeats, firsts["id"].eqNullSafe(repeats["id"]) & (firsts["key"] == repeats["key"])).select(firsts["id"].alias("_kept_id"), firsts["key"].alias("_kept_key"), F.col("rows").alias("_kept_rows")))
-    chosen = texts.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_key")))
-    once = chosen.filter("_kept_rows = 1").select(*documents.columns)
-    more = chosen.filter("_kept_rows > 1").dropDuplicates(["_kept_id", "_kept_key"]).select(*documents.columns)
+    names = kept_id, kept_key, kept_rows = fresh(documents.columns, "kept_id", "kept_key", "kept_rows")
+    firsts = cut(firsts.join(repeats, firsts["id"].eqNullSafe(repeats["id"]) & (firsts["key"] == repeats["key"])).select(firsts["id"], firsts["key"], "rows").toDF(*names))
+    chosen = texts.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_key)))
+    once = chosen.filter(F.col(kept_rows) == 1).select(*documents.columns)
+    more = chosen.filter(F.col(kept_rows) > 1).dropDuplicates([kept_id, kept_key]).select(*documents.columns)
     return once.unionByName(more).unionByName(documents.filter(F.col("text").isNull()))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,7 +130,8 @@ def brute_sets(rows):
     return {i: find(i) for i in sets}
 
 
-def test_planted_near_copies_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [3, 8, 64])  # sets of a bucket that is not large
+def test_planted_near_copies_equal_brute_force(spark, monkeypatch, most):
     """Copies with one to eight edited words on either side of 0.8, a large group of them, and a passage in many texts."""
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -144,10 +146,21 @@ def test_planted_near_copies_equal_brute_force(spark, monkeypatch):
                 for _ in range(rng.randint(1, 8)):
                     copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
                 texts.append(" ".join(copy))
+    for size in (508, 1030):  # around the sizes at which sketches double
+        base = [f"v{rng.randrange(9000)}" for _ in range(size)]
+        for _ in range(6):
+            at, more = rng.randrange(size), rng.choice([0, 3, 12, 60, 130])
+            texts.append(" ".join(base[:at] + [f"x{rng.randrange(9000)}" for _ in range(more)] + base[at:]))
+    base = rng.choices(vocabulary, k=150)  # copies of copies, and parts of one text: chains far from any hub
+    for _ in range(40):
+        base = list(base)
+        base[rng.randrange(150)] = rng.choice(vocabulary)
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[: rng.randint(90, 150)]))
     texts += [" ".join(passage + rng.choices(vocabulary, k=rng.choice([2, 5, 9, 200]))) for _ in range(80)]
     rng.shuffle(texts)
     rows = [(i, t, "en", "s", 1, None) for i, t in enumerate(texts)]
-    monkeypatch.setattr(simhash.similar_classes, "__defaults__", (5, 8, 1))  # most buckets are large
+    monkeypatch.setattr(simhash.similar_classes, "__defaults__", (5, most))
     want = brute_sets([(i, t) for i, t, *_ in rows])
     assert len(set(want.values())) < len(rows) - 40
     assert sorted(r.doc_id for r in simhash.keep_first(documents(spark, rows)).collect()) == sorted(set(want.values()))
@@ -184,9 +197,10 @@ def brute_lines(rows, min_words=5):
     return out
 
 
-@pytest.mark.parametrize("long", [8, 1024])
-def test_lines_equal_brute_force(spark, monkeypatch, long):
+@pytest.mark.parametrize(("long", "most"), [(8, 250_000), (1024, 250_000), (1024, 0)])
+def test_lines_equal_brute_force(spark, monkeypatch, long, most):
     monkeypatch.setattr(lines, "LONG", long)
+    monkeypatch.setattr(lines, "MAX_BROADCAST_ROWS", most)  # 0: candidates are joined by shuffle
     random.seed(10)
     words = [f"w{i}" for i in range(12)]
     pool = [[random.choice(words) for _ in range(random.choice([1, 3, 5, 6, 7, 9, 300]))] for _ in range(25)]
@@ -201,7 +215,7 @@ def test_lines_equal_brute_force(spark, monkeypatch, long):
             picked.append(random.choice(["", " ", "\t"]) + " ".join(line))
         rows.append((i, "\n".join(picked), "en", "s", 1, None))
     df = documents(spark, rows)
-    found = {r.doc_id: set(r._places or []) for r in lines.dedup_lines(df).collect()}
+    found = {r.doc_id: set(r.dropped_places or []) for r in lines.dedup_lines(df).collect()}
     want = brute_lines([(r[0], r[1]) for r in rows])
     assert found == {i: want.get(i, set()) for i in range(60)}
     for r in lines.dedup_lines(df).collect():
@@ -221,6 +235,20 @@ def test_line_edge_cases(spark):
     assert lines.line_report(df.limit(0)).count() == 0
 
 
+def test_long_text_of_repeated_lines(spark):
+    repeated = documents(spark, [(1, "the same line again\n" * 200_000 + "the end", "en", "s", 1, None)])
+    began = time.time()
+    (row,) = lines.line_report(repeated).collect()
+    assert (row.n_lines, row.n_dropped, row.text) == (200_001, 199_999, "the same line again\nthe end")
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("gone", [[], [0], [4], [0, 1], [1, 3], [0, 1, 2, 3, 4]])
+def test_places_are_cut_out(spark, gone):
+    df = spark.createDataFrame([("a\n\nc\nd\ne", gone)], "text string, gone array<int>").select(lines.without_places(F.col("text"), F.col("gone")).alias("t"))
+    assert df.first().t == "\n".join(x for i, x in enumerate(["a", "", "c", "d", "e"]) if i not in gone)
+
+
 def test_verification_on_words(spark):
     rows = [("a b c", "a x c"), ("a b c", "b c"), ("a b c", "a b c d"), ("a b c", "c b a"), ("a b", "a b"), ("a b c d", "a c b d"), ("x a b", "a b x")]
     df = spark.createDataFrame(rows, "x string, y string").select(lines._within_one(F.split("x", " "), F.split("y", " ")).alias("r"))
