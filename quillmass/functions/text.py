@@ -18,6 +18,11 @@ TYPOGRAPHY = ("−–—／＋", "---/+")
 SCIENTIFIC_TOKEN = r"(?U)\[[^\]\r\n]{1,40}\][+-]?|\bm\s*/\s*z\b|\d+(?:\.\d+)?(?:-[a-z0-9]+)+|\d+(?:\.\d+)?|[a-z]+(?:[-'][a-z0-9]+)*"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: within a lambda, other expressions are evaluated at each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def nonempty(c: Column) -> Column:
     """Null instead of the empty string."""
     return F.nullif(c, F.lit(""))
@@ -148,11 +153,15 @@ def traceability_text(c: Column) -> Column:
 
 def compact_text(c: Column) -> Column:
     """Lower case, dashes unified, no white space at all."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "−–—", "---"), r"(?U)\s+", "")
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "−–—‐", "----"), r"(?U)\s+", "")
+
+
+#: The tokens by which a quote is looked for.
+QUOTE_TOKEN = r"(?U)[A-Za-z]+(?:[-'][A-Za-z0-9]+)*|\d+(?:\.\d+)?"
 
 
 def word_tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda t: F.lower(t))
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(QUOTE_TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
 def semantic_text(c: Column) -> Column:
