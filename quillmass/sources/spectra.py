@@ -34,15 +34,24 @@ def _fields(lines: Column, separator: str) -> Column:
     return F.map_from_entries(last)
 
 
-def _blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """source (file name without suffix), block number and text of each block of the files."""
-    rows = spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", "\r", "").alias("block"))
-    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
-    return rows.withColumn("ord", F.monotonically_increasing_id()).select(stem.alias("source"), "ord", "block")
-
+def _records(spark: SparkSession, path: str, ends) -> DataFrame:
+    """source (file name without suffix), ord (from 0) and trimmed, non-empty lines of each record of the files.
 
-def _trimmed(block: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(block, "^﻿", ""), "\n"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
+    A record goes to the first line that ``ends`` it, inclusive. Lines are read as they are split among tasks, whatever
+    their line ends; ends are counted within each split, and the sums before a split number its records.
+    """
+    raw = spark.read.text(path)
+    line = F.btrim(F.regexp_replace("value", "^\ufeff", ""), F.lit(" \t\r\f\v"))
+    rows = raw.select(line.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.withColumn("end", ends(F.col("line")).cast("long"))
+    split = Window.partitionBy("file", "at").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("file", "at").agg(F.sum("end").alias("ends"))  # one row for each split
+    before = F.sum("ends").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = rows.withColumn("within", F.coalesce(F.sum("end").over(split), F.lit(0))).join(totals.select("file", "at", F.coalesce(before, F.lit(0)).alias("before")), ["file", "at"])
+    ordered = F.array_sort(F.collect_list(F.struct("at", "n", "line")))  # the lines of one record
+    found = numbered.filter("line <> ''").groupBy("file", (F.col("before") + F.col("within")).alias("ord")).agg(ordered.alias("parts"))
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    return found.select(stem.alias("source"), "ord", F.transform("parts", lambda p: p["line"]).alias("lines"))
 
 
 def _peaks(lines: Column) -> Column:
@@ -55,13 +64,13 @@ def read_mgf(spark: SparkSession, path: str, top_n: int = 20) -> DataFrame:
 
     A block without END, one within another, or one without a precursor mass is an error.
     """
-    raw = _blocks(spark, path, "END IONS")
-    lines = _trimmed(F.col("block"))
-    blocks = raw.withColumn("lines", lines).filter(F.size("lines") > 0)
-    begins = F.size(F.filter("lines", lambda x: F.upper(x) == "BEGIN IONS"))
-    blocks = blocks.withColumn("begins", begins).filter(F.col("begins") > 0)
-    begun = F.array_position(F.transform("lines", lambda x: F.upper(x)), "BEGIN IONS")
-    blocks = blocks.withColumn("lines", F.when(F.col("begins") > 1, F.raise_error(F.concat(F.lit("nested BEGIN IONS in "), "source")).cast("array<string>")).otherwise(F.slice("lines", begun.cast("int") + 1, F.size("lines"))))
+    raw = _records(spark, path, lambda x: F.upper(x) == "END IONS")
+    upper = F.transform("lines", lambda x: F.upper(x))
+    blocks = raw.withColumn("begun", F.array_position(upper, "BEGIN IONS").cast("int")).filter("begun > 0")
+    begins = F.size(F.filter(upper, lambda x: x == "BEGIN IONS"))
+    fault = F.when(begins > 1, "nested BEGIN IONS").when(F.element_at(upper, -1) != "END IONS", "unterminated MGF block")
+    inner = F.slice("lines", F.col("begun") + 1, F.size("lines") - F.col("begun") - 1)
+    blocks = blocks.withColumn("lines", F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(" in "), "source")).cast("array<string>")).otherwise(inner))
     fields = _fields(F.col("lines"), "=")
     rows = blocks.withColumn("f", fields)
     f = F.col("f")
@@ -95,7 +104,7 @@ def read_msp(spark: SparkSession, path: str, top_n: int = 20, default_ion_mode:
     Records without precursor, name or peaks are none; of each file the first ``most`` count. The polarity may be
     empty: keep positive and negative ones to search.
     """
-    rows = _blocks(spark, path, "\n\n").withColumn("lines", _trimmed(F.col("block"))).filter(F.size("lines") > 0)
+    rows = _records(spark, path, lambda x: x == "")
     is_peak = rf"^{NUMBER}\s+{NUMBER}"
     f = F.col("f")
     rows = rows.withColumn("f", _fields(F.filter("lines", lambda x: ~x.rlike(is_peak)), ":")).withColumn("raw", _peaks(F.filter("lines", lambda x: x.rlike(is_peak))))
@@ -135,8 +144,9 @@ def read_feature_table(spark: SparkSession, path: str, head_lines: int = 200) ->
     The header is the first of the first ``head_lines`` lines that names id, m/z and retention time. Blank rows are
     skipped, short rows padded. A blank or repeated id, or an m/z that is no number, is an error.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("line"))
-    head = [r.line for r in lines.limit(head_lines).collect()]
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").orderBy("n").limit(head_lines).collect()
+    head = [r.line for r in first]
     separator = _delimiter("\n".join(head)[:8192])
     header = None
     for raw in head:
@@ -148,11 +158,11 @@ def read_feature_table(spark: SparkSession, path: str, head_lines: int = 200) ->
     if header is None:
         raise ValueError("no header names id, m/z and retention time")
     raw_header, keys = header
-    skipped = head[: head.index(raw_header) + 1]
     names = [f"c{i}" for i in range(len(keys))]
     cells = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"sep": separator, "quote": '"', "mode": "PERMISSIVE"})
-    preamble = spark.createDataFrame([(x,) for x in sorted(set(skipped))], "line string")
-    rows = lines.join(F.broadcast(preamble), "line", "left_anti").filter(F.btrim(F.regexp_replace("line", f"[{separator}]", "")) != "").select(cells.alias("c"))
+    # the preamble is the first lines of the file's first split, up to the header
+    begun = (F.col("at") > 0) | (F.col("n") > first[head.index(raw_header)].n)
+    rows = lines.filter(begun & (F.btrim(F.regexp_replace("line", f"[{separator}]", "")) != "")).select(cells.alias("c"))
 
     def column(wanted: tuple[str, ...]) -> Column:
         return next((F.coalesce(F.btrim(F.col(f"c.{names[i]}")), F.lit("")) for i, k in enumerate(keys) if k in wanted), F.lit(""))
