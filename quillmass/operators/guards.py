@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmass.functions import text
 
@@ -86,6 +90,104 @@ def recover_losses(rejected: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return rejected.withColumn("verdict", F.when(fine, "recover").otherwise("reject")).withColumn("source_ion_mz", F.when(fine, source)).withColumn("product_ion_mz", F.when(fine, product))
 
 
+#: How a table's label is printed.
+TABLE_LABEL = r"(?i)\b(?:continue\s+)?table\s+([A-Za-z]*\d+[A-Za-z]*)\s*(?:\.|:)"
+
+
+def table_scopes(pages: DataFrame) -> DataFrame:
+    """source_file, page, table_label: the first label on a page, else that of the page before, if it follows at once.
+
+    ``pages``: source_file, page, page_text. A page that is missing ends a run, and a run's first unlabelled pages have none.
+    """
+    label = F.lower(F.regexp_extract("page_text", TABLE_LABEL, 1))
+    rows = pages.select("source_file", "page", label.alias("own"))
+    of_source = Window.partitionBy("source_file").orderBy("page")
+    runs = rows.withColumn("run", F.col("page") - F.row_number().over(of_source))
+    carried = F.last(F.nullif("own", F.lit("")), ignorenulls=True).over(Window.partitionBy("source_file", "run").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return runs.select("source_file", "page", F.coalesce(carried, F.lit("")).alias("table_label"))
+
+
+def _has_term(content: Column, terms: Column) -> Column:
+    words = ascii_words(content)
+    return F.exists(terms, lambda t: words.contains(t))
+
+
+def relevant_tables(pages: DataFrame, terms: Column) -> DataFrame:
+    """source_file, table_label of tables whose caption (up to the next label, or 1000 characters) has a term, or whose page has and no other table."""
+    labels = F.transform(F.regexp_extract_all("page_text", F.lit(TABLE_LABEL), F.lit(1)), lambda x: F.lower(x))
+    rows = pages.withColumn("labels", labels).filter(F.size("labels") > 0)
+    # what stands behind each label, up to the next one
+    parts = F.slice(F.split("page_text", TABLE_LABEL), 2, 1 << 20)
+    each = rows.select("source_file", "page_text", "labels", F.posexplode(F.arrays_zip(F.col("labels").alias("l"), parts.alias("t"))).alias("n", "p"))
+    caption = F.when(F.col("n") + 1 == F.size("labels"), F.substring("p.t", 1, 1000)).otherwise(F.col("p.t"))
+    named = each.filter(_has_term(F.concat_ws(" ", F.lit("table"), F.col("p.l"), caption), terms)).select("source_file", F.col("p.l").alias("table_label"))
+    alone = rows.filter((F.size(F.array_distinct("labels")) == 1) & _has_term(F.col("page_text"), terms)).select("source_file", F.col("labels")[0].alias("table_label"))
+    return named.unionByName(alone).distinct()
+
+
+def table_guard(claims: DataFrame, pages: DataFrame, compound_class: str, concepts: DataFrame) -> DataFrame:
+    """Adds table_scope, page_relevant, table_relevant, entity_relevant, verdict and reason_code: rows of tables of other domains are rejected.
+
+    A row stays if its table, or its page outside of tables, names the class or a subclass, or its entity any known
+    compound. ``concepts``: name, type; their terms (of four letters or more) are few and gathered first.
+    """
+    spark = claims.sparkSession
+    given = concepts.select(ascii_words(F.col("name")).alias("term"), F.col("type").alias("kind")).unionByName(spark.createDataFrame([(compound_class,)], "n string").select(ascii_words(F.col("n")).alias("term"), F.lit("subclass").alias("kind")))
+    terms = [(r.term, r.kind) for r in given.filter((F.length("term") >= 4) & F.col("kind").isin("subclass", "compound", "synonym")).distinct().collect()]
+    scope = F.array(*[F.lit(t) for t in sorted({t for t, k in terms if k == "subclass"})]).cast("array<string>")
+    every = F.array(*[F.lit(t) for t in sorted({t for t, _ in terms})]).cast("array<string>")
+    labels = table_scopes(pages)
+    page_hits = pages.select("source_file", "page", _has_term(F.col("page_text"), scope).alias("page_has"))
+    fitting = relevant_tables(pages, scope).withColumn("table_has", F.lit(True))
+    rows = claims.join(labels, ["source_file", "page"], "left").join(page_hits, ["source_file", "page"], "left").join(fitting, ["source_file", "table_label"], "left")
+    label = F.coalesce("table_label", F.lit(""))
+    who = F.concat_ws(" ", *[_field(claims, c) for c in ("compound_name", "entity_name", "component_name", "evidence_quote")])
+    rows = rows.withColumn("page_relevant", (label == "") & F.coalesce("page_has", F.lit(False))).withColumn("table_relevant", (label != "") & F.coalesce("table_has", F.lit(False))).withColumn("entity_relevant", _has_term(who, every))
+    fine = F.col("page_relevant") | F.col("table_relevant") | F.col("entity_relevant")
+    out = rows.withColumn("table_scope", label).withColumn("verdict", F.when(fine, "pass").otherwise("reject")).withColumn("reason_code", F.when(fine, "").otherwise("structured_domain_scope_not_established"))
+    return out.select(*claims.columns, "table_scope", "page_relevant", "table_relevant", "entity_relevant", "verdict", "reason_code")
+
+
+def longest_common(a: Column, b: Column) -> Column:
+    """The length of the longest text that both hold."""
+
+    @F.pandas_udf("int")
+    def longest(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p or "", q or "").find_longest_match().size for p, q in zip(x, y, strict=True)], dtype="int32")
+
+    return longest(a, b)
+
+
+def name_encoded_relations(rejected: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Adds verdict (recover or reject), modifier_similarity and source_evidence_basis to rejected transformations.
+
+    A relation that only names state is recovered, as an inference: the target's name holds the source's and a modifier
+    that shares six letters in a row with the transformation's name, and the target's words stand in a traceable quote.
+    ``rejected``: claim_type, traceable, source_entity, target_entity, transformation_name, evidence_quote.
+    """
+    source, target, change, quote = (ascii_words(_field(rejected, c)) for c in ("source_entity", "target_entity", "transformation_name", "evidence_quote"))
+    known = concepts.filter(F.col("type").isin("compound", "synonym")).select(ascii_words(F.col("name")).alias("_term")).filter("_term <> ''").distinct().withColumn("_known", F.lit(True))
+    rows = rejected.withColumns({"_source": source, "_target": target, "_change": change, "_quote": quote})
+    at = F.call_function("instr", F.col("_target"), F.col("_source"))
+    modifier = F.when((F.col("_source") != "") & (at > 0), F.btrim(F.concat(F.substr(F.col("_target"), F.lit(1), at - 1), F.lit(" "), F.substr(F.col("_target"), at + F.length("_source"))))).otherwise("")
+    rows = rows.withColumn("modifier_similarity", longest_common(F.col("_change"), modifier)).join(known, F.col("_source") == F.col("_term"), "left")
+    words = F.filter(F.split("_target", " "), lambda w: F.length(w) >= 2)
+    held = F.split("_quote", " ")
+    fine = (
+        (_field(rejected, "claim_type") == "transformation")
+        & F.coalesce(F.col("traceable"), F.lit(False))
+        & (at > 0)
+        & (F.col("_source") != F.col("_target"))
+        & (F.size(words) > 0)
+        & (F.size(F.array_except(words, held)) == 0)
+        & (F.col("modifier_similarity") >= 6)
+        & ~looks_like_ion(_field(rejected, "source_entity"))
+        & ~looks_like_ion(_field(rejected, "target_entity"))
+    )
+    basis = F.when(F.col("_known"), "discovered_concept").otherwise("target_name_substring")
+    return rows.withColumn("verdict", F.when(fine, "recover").otherwise("reject")).withColumn("source_evidence_basis", basis).drop("_source", "_target", "_change", "_quote", "_term", "_known")
+
+
 def prevalidated(claims: DataFrame) -> DataFrame:
     """Adds critic_status and reason_code: rows that the table parser located are accepted, others reviewed."""
     located = F.coalesce(F.col("traceability_status"), F.lit("")) == "structured"

@@ -91,11 +91,21 @@ def fragment_values(cell: Column) -> Column:
     return F.filter(usable, lambda r, i: ~F.exists(F.slice(usable, F.lit(1), i), lambda q: F.round(q["mz"], 9) == F.round(r["mz"], 9)))
 
 
+#: How a text speaks of a polarity.
+SPOKEN = {
+    "positive": r"(?i)\bpositive\b.{0,30}\bion\s+mode\b|\bESI\s*\+|\[\s*M\s*\+\s*(?:H|Na|NH4)\s*\]\s*\+",
+    "negative": r"(?i)\bnegative\b.{0,30}\bion\s+mode\b|\bESI\s*-|\[\s*M\s*(?:-\s*H|\+\s*HCOO)\s*\]\s*-",
+}
+
+
+def speaks_of(mode: str, content: Column) -> Column:
+    """Whether a text speaks of a polarity."""
+    return F.translate(text.clean_text(content), "−–—", "---").rlike(SPOKEN[mode])
+
+
 def mode_words(content: Column) -> Column:
     """positive, negative or empty: the one polarity that a text speaks of."""
-    t = F.translate(F.lower(F.coalesce(content, F.lit(""))), "−–—", "---")
-    up = t.rlike(r"\bpositive[\s-]+(?:ion|mode|esi|electrospray)|\besi\s*\(?\+|\[m\+[a-z0-9]+\]\+")
-    down = t.rlike(r"\bnegative[\s-]+(?:ion|mode|esi|electrospray)|\besi\s*\(?-|\[m-[a-z0-9]+\]-")
+    up, down = speaks_of("positive", content), speaks_of("negative", content)
     return F.when(up & ~down, "positive").when(down & ~up, "negative").otherwise("")
 
 
@@ -121,14 +131,14 @@ def build_inventory(claims: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Da
     good = judged.filter("verdict = 'accepted'")
     records = good.select("evidence_id", evidence_type(F.col("claim_type")).alias("evidence_type"), text.clean_text(F.col("source_file")).alias("source_file"), F.col("cited_id").alias("chunk_id"), "page", "sheet_name", F.col("section").alias("table_id"), "row_index", F.col("quote").alias("evidence_quote"), text.first_nonempty(text.clean_text(F.col("claim_source")), F.lit("llm")).alias("extraction_method"), F.lit("accepted").alias("review_status")).dropDuplicates(["evidence_id"])
     # the polarity of cited chunks, and of their whole documents
-    by_document = chunks.groupBy("source_file").agg(F.max(mode_words(F.col("text")) == "positive").alias("up"), F.max(mode_words(F.col("text")) == "negative").alias("down"))
+    by_document = chunks.groupBy("source_file").agg(F.max(speaks_of("positive", F.col("text"))).alias("up"), F.max(speaks_of("negative", F.col("text"))).alias("down"))
     with_documents = good.join(by_document, "source_file", "left")
 
     def one(up: Column, down: Column) -> Column:
         return F.when(up & ~down, "positive").when(down & ~up, "negative")
 
-    own = mode_words(F.col("chunk_text"))
-    spoken = with_documents.groupBy("claim_id").agg(F.coalesce(one(F.max(own == "positive"), F.max(own == "negative")), one(F.max(F.coalesce("up", F.lit(False))), F.max(F.coalesce("down", F.lit(False)))), F.lit("not_reported")).alias("spoken_mode"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))  # a claim's citations
+    own = {m: F.max(speaks_of(m, F.col("chunk_text"))) for m in SPOKEN}
+    spoken = with_documents.groupBy("claim_id").agg(F.coalesce(one(own["positive"], own["negative"]), one(F.max(F.coalesce("up", F.lit(False))), F.max(F.coalesce("down", F.lit(False)))), F.lit("not_reported")).alias("spoken_mode"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))  # a claim's citations
     structure = source_structure(F.col("source_structure"), F.col("claim_source"))
     entity = claim_entity_id(F.col("entity_id"), F.col("compound_class"), F.col("compound_name"), F.col("component_name"), F.col("precursor_name"))
     rows = c.join(spoken, "claim_id").withColumn("entity", entity).withColumn("structure", structure)
@@ -178,6 +188,13 @@ def statement_windows(content: Column, width: int = 700) -> Column:
     return F.transform(merged, lambda s: F.substr(content, s["a"] + 1, s["b"] - s["a"]))
 
 
+def quote_around(content: Column, mz: Column, width: int = 500) -> Column:
+    """The text around the first place of an m/z, half the width on both sides; from the start if it does not occur."""
+    at = F.greatest(F.call_function("instr", content, mz) - 1, F.lit(0))
+    start = F.greatest(at - width // 2, F.lit(0))
+    return text.clean_text(F.substr(content, start + 1, at + width // 2 - start))
+
+
 def mine_diagnostics(chunks: DataFrame, compound_class: str, subclasses: dict[str, str] | None = None, low: float = 100.0, high: float = 450.0) -> DataFrame:
     """Diagnostic fragment claims: the m/z values near explaining words, merged by (subclass, m/z, type).
 

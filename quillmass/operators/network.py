@@ -360,3 +360,24 @@ def preflight(nodes: DataFrame, seeds: DataFrame, entities: DataFrame, rules: Da
 def best_first(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group in a given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+
+#: Statuses of formal discoveries.
+EXACT_DISCOVERIES = ("fragment_supported_discover", "exact_discover", "mechanism_supported_discover")
+AMBIGUOUS_DISCOVERY = "ambiguous_group_discover"
+
+
+def summarize_discoveries(rows: DataFrame) -> DataFrame:
+    """One row: nodes with a formal discovery, entities found exactly (and outside ambiguous groups), groups, and their sum.
+
+    ``rows``: annotation_status, target_entity_id, target_entity_group_id, ambiguous_target_entity_ids (joined by semicolons).
+    """
+    status = F.btrim(F.coalesce("annotation_status", F.lit("")))
+    entity, group = F.btrim(F.coalesce("target_entity_id", F.lit(""))), F.btrim(F.coalesce("target_entity_group_id", F.lit("")))
+    exact, several = status.isin(*EXACT_DISCOVERIES), status == AMBIGUOUS_DISCOVERY
+    ids = rows.filter(exact & (entity != "")).select(entity.alias("e")).distinct()
+    members = rows.filter(several).select(F.explode(F.split(F.coalesce("ambiguous_target_entity_ids", F.lit("")), ";")).alias("e")).select(F.btrim("e").alias("e")).filter("e <> ''").distinct()
+    alone = ids.join(members, "e", "left_anti")
+    counts = rows.agg(F.count_if(exact | several).alias("formal_discover_node_count"), F.countDistinct(F.when(several & (group != ""), group)).alias("ambiguous_discover_group_count"))
+    one = counts.crossJoin(F.broadcast(ids.agg(F.count("*").alias("raw_exact_discover_entity_count")))).crossJoin(F.broadcast(alone.agg(F.count("*").alias("exact_discover_entity_count"))))  # one row each
+    return one.withColumn("formal_discovery_unit_count", F.col("exact_discover_entity_count") + F.col("ambiguous_discover_group_count"))
