@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmass.functions import text
+from quillmass.operators.storage import cut
 
 #: What each family of evidence speaks of.
 EVIDENCE_PATTERNS = {
@@ -43,9 +44,14 @@ CATALOG_ROLES = ("supplementary_table", "compound_catalog", "experimental_table"
 RARE_TERMS = (
     (3.0, r"\bC\d+H\d+(?:[A-Z][a-z]?\d*)*\b"),
     (2.0, r"(?i)\bm\s*/\s*z\b|\b\d+\.\d{3,}\b"),
-    (1.0, r"\b[A-Z][A-Za-z]+[- ][A-Za-z0-9][A-Za-z0-9 -]*\b"),  # a capitalised word and those it is joined to
+    (1.0, r"\b[A-Z][A-Za-z]+(?:[- ][A-Za-z0-9]+){1,}\b"),
     (0.5, r"(?i)\b[A-Za-z]+(?:ine|ol|one|acid|oside|glycoside|glucoside|aglycone|ester|amide)s?\b"),
 )
+#: The third pattern again without a repeated group, which Java's engine runs by recursion: longer separators are line
+#: ends then, so a name is a run of one class of characters.
+JOINED_WORDS = r"\b[A-Z][A-Za-z]+[- ][A-Za-z0-9][A-Za-z0-9 -]*\b"
+#: Query terms up to this number are a literal in the plan; more are joined.
+MAX_TERMS = 1000
 CHUNK = "chunk_number int, char_start int, char_end int, chunk_text string"
 
 
@@ -148,13 +154,10 @@ def evidence_alignment(content: Column, role: Column, family: str) -> Column:
 
 
 def rare_term_score(content: Column) -> Column:
-    """Weighted counts of formulas, exact masses, names and chemical endings.
-
-    Joined words are separated by one blank or dash; longer separators are turned into line ends first, so that a
-    name is one character class and a long text costs no recursion.
-    """
+    """Weighted counts of formulas, exact masses, names and chemical endings; words and digits are Unicode's."""
     plain = F.regexp_replace(content, "[- ]{2,}", "\n")
-    return sum((F.regexp_count(plain, F.lit(p)) * w for w, p in RARE_TERMS), F.lit(0.0))
+    patterns = [(w, JOINED_WORDS if i == 2 else p, plain if i == 2 else content) for i, (w, p) in enumerate(RARE_TERMS)]
+    return sum((F.regexp_count(c, F.lit("(?U)" + p)) * w for w, p, c in patterns), F.lit(0.0))
 
 
 def build_index(documents: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -176,10 +179,18 @@ def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 12, k1: float
     Query terms are looked up first, so only their postings are built; a term that a query repeats counts again.
     """
     asked = queries.select("query_id", F.explode(text.scientific_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tokens = documents.select(F.col(key).alias("key"), text.scientific_tokens(F.col(text_col)).alias("tokens"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    found = tokens.select("key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
+    few = [r.term for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    tokens = documents.select(F.col(key).alias("key"), text.scientific_tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    if len(few) <= MAX_TERMS:
+        # the terms are a literal: a text is tokenized once, and only its query terms are kept
+        terms = F.array(*[F.lit(t) for t in few]).cast("array<string>")
+        kept = cut(tokens.select("key", "dl", F.filter("tokens", lambda t: F.array_contains(terms, t)).alias("tokens")))
+        totals = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        each = kept.select("key", "dl", F.explode("tokens").alias("term"))
+    else:
+        totals = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        each = tokens.select("key", "dl", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = each.groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
     held = found.groupBy("term").agg(F.count("*").alias("df"))
     scored = found.join(held, "term").crossJoin(F.broadcast(totals))  # one row of totals
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -209,21 +220,23 @@ def islands(rows: DataFrame, group: list[str], position: str) -> DataFrame:
 
 
 def rebuild_pages(chunks: DataFrame, group: list[str]) -> DataFrame:
-    """A page's text from its overlapping chunks (char_start, char_end, chunk_text): overlaps cut, gaps one line end."""
+    """A page's text from its overlapping chunks (char_start, char_end, chunk_text): overlaps cut, gaps one line end.
+
+    Each chunk gives the piece that is new; pieces are joined once.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("char_start", "char_end", "chunk_text")))  # at most a page's chunks
-    merged = F.aggregate(
-        "parts",
-        F.struct(F.lit("").alias("text"), F.lit(-1).alias("stop")),
-        lambda acc, c: F.struct(
+
+    def grown(acc: Column, c: Column) -> Column:
+        piece = (
             F.when(acc["stop"] < 0, c["chunk_text"])
-            .when(c["char_start"] > acc["stop"], F.concat(acc["text"], F.lit("\n"), c["chunk_text"]))
-            .when(c["char_end"] > acc["stop"], F.concat(acc["text"], F.substr(c["chunk_text"], acc["stop"] - c["char_start"] + 1)))
-            .otherwise(acc["text"])
-            .alias("text"),
-            F.greatest(acc["stop"], c["char_end"]).alias("stop"),
-        ),
-    )
-    return chunks.groupBy(*group).agg(ordered.alias("parts")).select(*group, merged["text"].alias("page_text"))
+            .when(c["char_start"] > acc["stop"], F.concat(F.lit("\n"), c["chunk_text"]))
+            .when(c["char_end"] > acc["stop"], F.substr(c["chunk_text"], acc["stop"] - c["char_start"] + 1))
+            .otherwise("")
+        )
+        return F.struct(F.concat(acc["pieces"], F.array(piece)).alias("pieces"), F.greatest(acc["stop"], c["char_end"]).alias("stop"))
+
+    merged = F.aggregate("parts", F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(-1).alias("stop")), grown)
+    return chunks.groupBy(*group).agg(ordered.alias("parts")).select(*group, F.array_join(merged["pieces"], "").alias("page_text"))
 
 
 def serialize_row(headers: Column, values: Column) -> Column:
