@@ -16,25 +16,34 @@ def _score(family: tuple[str, ...], bonus: str) -> str:
     return f"round(least(1.0, ({hits}) / {float(len(family))} + {bonus}), 6)"
 
 
-def _alignment() -> str:
-    from quillmass.operators.corpus import EVIDENCE_PATTERNS as P
+_FAMILIES = {
+    "compound": (r"\bcompound(?:s)?\b", r"\bidentif(?:y|ied|ication)\b", r"\bmolecular formula\b", r"\bexact mass\b", r"\b(?:lc|uhplc|uplc)[-\s]?(?:ms|ms/ms)\b"),
+    "fragment": (r"\bfragment(?:ation|s)?\b", r"\bproduct ion(?:s)?\b", r"\bdiagnostic ion(?:s)?\b", r"\bms\s*/\s*ms\b", r"\bcid\b"),
+    "review": (r"\breview\b", r"\boverview\b", r"\bsummar(?:y|izes|ised)\b"),
+    "supplementary": (r"\bsupplement(?:ary)?\b", r"\btable\s+s?\d+\b", r"\bretention time\b", r"\bobserved m\s*/\s*z\b", r"\bcalculated m\s*/\s*z\b"),
+}
+
 
+def _alignment() -> str:
     catalog = "CASE WHEN role = 'compound_catalog' THEN 0.15 ELSE 0.0 END"
     return f"""
 WITH docs AS (
   SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' Review of product ions and compounds' ELSE '' END AS t,
          CASE doc_id % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'compound_catalog' ELSE 'article_text' END AS role
   FROM documents)
-SELECT doc_id, {_score(P["compound"], catalog)} AS compound_score, {_score(P["fragment"], catalog)} AS fragment_score,
-       {_score(P["review"], "CASE WHEN role = 'review' THEN 0.25 ELSE 0.0 END")} AS review_score,
-       {_score(P["supplementary"], "CASE WHEN role = 'compound_catalog' THEN 0.35 ELSE 0.0 END")} AS supplementary_score
+SELECT doc_id, {_score(_FAMILIES["compound"], catalog)} AS compound_score, {_score(_FAMILIES["fragment"], catalog)} AS fragment_score,
+       {_score(_FAMILIES["review"], "CASE WHEN role = 'review' THEN 0.25 ELSE 0.0 END")} AS review_score,
+       {_score(_FAMILIES["supplementary"], "CASE WHEN role = 'compound_catalog' THEN 0.35 ELSE 0.0 END")} AS supplementary_score
 FROM docs"""
 
 
-def _rare() -> str:
-    from quillmass.operators.corpus import RARE_TERMS
-
-    return "SELECT doc_id, " + " + ".join(f"{w}::DOUBLE * len(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[- ]{{2,}}', chr(10), 'g'), '{p}'))" for w, p in RARE_TERMS) + " AS score FROM documents"
+#: The published patterns. Letters beyond ASCII become a word character that no class has, other such signs one that is none.
+_RARE = r"""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{M}\p{N}]', '#', 'g'), '[^\x00-\x7F]', '_', 'g') AS t FROM documents)
+SELECT doc_id, 3.0::DOUBLE * len(regexp_extract_all(t, '\bC\d+H\d+(?:[A-Z][a-z]?\d*)*\b')) + 2.0::DOUBLE * len(regexp_extract_all(t, '(?i)\bm\s*/\s*z\b|\b\d+\.\d{3,}\b'))
+  + 1.0::DOUBLE * len(regexp_extract_all(t, '\b[A-Z][A-Za-z]+(?:[- ][A-Za-z0-9]+){1,}\b'))
+  + 0.5::DOUBLE * len(regexp_extract_all(t, '(?i)\b[A-Za-z]+(?:ine|ol|one|acid|oside|glycoside|glucoside|aglycone|ester|amide)s?\b')) AS score FROM t
+"""
 
 
 ORACLE_SQL = {
@@ -49,7 +58,7 @@ WITH raw AS (
 ), pairs AS (
   SELECT q.vec_id AS query_id, l.vec_id AS library_id, abs(q.mz - l.mz) / abs(l.mz) * 1e6 AS ppm
   FROM spectra q JOIN spectra l ON q.mode = l.mode
-  WHERE q.vec_id % 10 = 0 AND l.vec_id % 10 <> 0 AND abs(q.mz - l.mz) <= least(0.0021, abs(q.mz) * 1e-5) AND abs(q.mz - l.mz) / abs(l.mz) * 1e6 <= 10.0
+  WHERE q.vec_id % 10 = 0 AND l.vec_id <> q.vec_id AND abs(q.mz - l.mz) <= least(0.0021, abs(q.mz) * 1e-5) AND abs(q.mz - l.mz) / abs(l.mz) * 1e6 <= 10.0
 ), scored AS (
   SELECT query_id, 'name' || (library_id % 40) AS name, lpad(CAST(library_id AS VARCHAR), 9, '0') AS source, ppm,
          sum(a.x * b.x) / any_value(na.n) / any_value(nb.n) AS score, CAST(count(*) AS INTEGER) AS matched_n
@@ -114,7 +123,7 @@ FROM p LEFT JOIN c USING (p_partkey) LEFT JOIN n ON n.mode = p.mode
 WITH f AS (SELECT o_orderkey AS id, 100.0::DOUBLE + (o_custkey % 3) * 0.01::DOUBLE AS mz, CASE o_orderstatus WHEN 'O' THEN 'positive' WHEN 'F' THEN 'negative' ELSE 'positive' END AS mode FROM orders),
 s AS (SELECT l_orderkey AS id, 100.0::DOUBLE + (l_suppkey % 5) * 0.01::DOUBLE AS mz, CASE WHEN l_returnflag = 'A' THEN 'negative' ELSE '' END AS mode,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_extendedprice AS FLOAT) DESC, l_linenumber) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n
-      FROM lineitem WHERE l_linenumber <> 2 AND l_orderkey % 7 <> 0),
+      FROM lineitem),
 l AS (SELECT s.n, CASE WHEN f.mode <> 'positive' THEN 'other_polarity' WHEN s.id IS NULL THEN 'no_spectrum' WHEN s.mode = 'negative' THEN 'polarity_conflict'
         WHEN abs(s.mz - f.mz) > 0.0101 THEN 'mass_conflict' ELSE 'accepted' END AS step FROM f LEFT JOIN s ON s.id = f.id AND s.r = 1)
 SELECT step, count(*) AS features, count(*) FILTER (WHERE n > 1) AS with_several_spectra FROM l GROUP BY 1
@@ -146,8 +155,8 @@ w(node, depth) AS (SELECT 's' || s_suppkey, 0 FROM supplier WHERE s_suppkey <= 2
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1
 """,
     "division": """
-SELECT DISTINCT l_suppkey FROM lineitem a WHERE NOT EXISTS (
-  SELECT 1 FROM part WHERE p_partkey <= 2 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_suppkey = a.l_suppkey AND b.l_partkey = p_partkey))
+SELECT DISTINCT o_custkey FROM orders a WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT o_orderstatus AS s FROM orders) WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = s))
 """,
     "capped_combinations": """
 WITH n AS (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -155,22 +164,43 @@ c AS (SELECT a.r_name, a.n_name AS nation, s.segment, b.n_name AS other FROM n a
 SELECT *, count(*) OVER (PARTITION BY r_name) AS combination_count FROM c QUALIFY count(*) OVER (PARTITION BY r_name) <= 60
 """,
     "formula_masses": """
-SELECT * FROM (VALUES ('C6H12O6', 'C6H12O6', round(6 * 12.0 + 12 * 1.00782503223 + 6 * 15.99491461957, 6)::DOUBLE), ('H2O', 'H2O', round(2 * 1.00782503223 + 15.99491461957, 6)),
- ('C20H30O2+', 'C20H30O2', round(240 + 30 * 1.00782503223 + 2 * 15.99491461957, 6)), ('NaCl', 'ClNa', round(22.989769282 + 34.968852682, 6)),
- ('C2H5OH', 'C2H6O', round(24 + 6 * 1.00782503223 + 15.99491461957, 6)), ('Xx2', '', NULL), ('', '', NULL), ('C0H2', '', NULL),
- ('CaCO3', 'CCaO3', round(39.962590863 + 12 + 3 * 15.99491461957, 6)), ('c6h6', '', NULL)) t(formula, hill, mass)
-""",
-    "rebuilt_documents": r"SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS INTEGER) AS n_visible FROM documents WHERE regexp_matches(text, '\S')",
+SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '' ELSE 'C' || (p_size + 1) || 'H' || (p_size % 7 + 2) || CASE WHEN p_size % 3 = 0 THEN 'Cl' ELSE '' END || 'N' || (p_partkey % 40 + 2) END AS hill,
+  CASE WHEN p_size % 10 <> 0 THEN round((p_size + 1) * 12.0::DOUBLE + (p_size % 7 + 2) * 1.00782503223::DOUBLE + CASE WHEN p_size % 3 = 0 THEN 34.968852682::DOUBLE ELSE 0 END + (p_partkey % 40 + 2) * 14.00307400443::DOUBLE, 6) END AS mass
+FROM part
+""",
+    "chunk_documents": r"""
+WITH RECURSIVE cut(doc_id, text, n, a0, stop) AS (
+  SELECT doc_id, text, length(text), 0, CASE WHEN 1200 >= length(text) THEN length(text)
+    WHEN regexp_matches(substr(text, 841, 360), '[ \n]') THEN 840 + length(regexp_extract(substr(text, 841, 360), '(?s)^(.*)[ \n]', 1)) ELSE 1200 END
+  FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, n, nat, CASE WHEN nat + 1200 >= n THEN n
+    WHEN regexp_matches(substr(text, nat + 841, 360), '[ \n]') THEN nat + 840 + length(regexp_extract(substr(text, nat + 841, 360), '(?s)^(.*)[ \n]', 1)) ELSE nat + 1200 END
+  FROM (SELECT *, greatest(stop - 200, a0 + 1) AS nat FROM cut WHERE stop < n)
+), piece AS (SELECT doc_id, a0, substr(text, a0 + 1, stop - a0) AS p FROM cut),
+trimmed AS (SELECT doc_id, a0, a0 + length(p) - length(regexp_replace(p, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '')) AS char_start, regexp_replace(regexp_replace(p, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ''), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '') AS chunk_text FROM piece)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a0) AS INTEGER) AS chunk_number, CAST(char_start AS INTEGER) AS char_start, CAST(char_start + length(chunk_text) AS INTEGER) AS char_end, chunk_text
+FROM trimmed WHERE chunk_text <> ''
+""",
+    "rebuilt_documents": r"SELECT doc_id, CAST(length(t) AS INTEGER) AS n_visible, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(text, '[\s\x0b]', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S'))",
     "evidence_alignment": _alignment(),
-    "rare_terms": _rare(),
-    "source_counts": "SELECT source, count(*) AS documents FROM documents WHERE source <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "rare_terms": _RARE,
     "zero_filled_types": "SELECT t.event_type, count(e.event_id) AS count FROM (VALUES ('view'), ('click'), ('purchase'), ('refund_never')) t(event_type) LEFT JOIN events e USING (event_type) GROUP BY 1",
-    "traceable_quotes": "SELECT doc_id, CASE WHEN trim(substr(text, 5, 60)) = '' THEN 'failed' WHEN upper(text) LIKE '%' || trim(substr(text, 5, 60)) || '%' THEN 'exact' ELSE 'normalized' END AS status FROM (SELECT doc_id, replace(text, 'ß', 'ss') AS text FROM documents)",
+    "traceable_quotes": r"""
+WITH d AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '')
+    ELSE array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1) % 9 = 8 THEN 'Qqq' ELSE w END), ' ') END AS quote FROM documents),
+n AS (SELECT *, trim(regexp_replace(quote, '[\s\x0b\x{85}\p{Z}]+', ' ', 'g')) AS q, regexp_replace(translate(lower(quote), '−–—‐', '----'), '[\s\x0b\x{85}\p{Z}]+', '', 'g') AS plain,
+    regexp_replace(translate(lower(text), '−–—‐', '----'), '[\s\x0b\x{85}\p{Z}]+', '', 'g') AS whole FROM d),
+k AS (SELECT doc_id, lower(unnest(regexp_extract_all(quote, '[A-Za-z]+(?:[-''][A-Za-z0-9]+)*|\d+(?:\.\d+)?'))) AS t FROM d),
+h AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:[-''][A-Za-z0-9]+)*|\d+(?:\.\d+)?'))) AS t FROM d),
+s AS (SELECT k.doc_id, count(h.t) / count(*) AS share FROM k LEFT JOIN h USING (doc_id, t) GROUP BY 1)
+SELECT doc_id, CASE WHEN coalesce(q, '') = '' THEN 'failed' WHEN contains(text, q) THEN 'exact' WHEN plain <> '' AND contains(whole, plain) THEN 'normalized' WHEN round(share, 4) > 0.75 THEN 'fuzzy' ELSE 'failed' END AS status
+FROM n LEFT JOIN s USING (doc_id)
+""",
     "network_expansion": """
 SELECT * FROM (VALUES ('n0', 'A', 'known_match', '', 0), ('n1', 'B', 'fragment_supported_discover', 'class_consensus_pair', 1),
  ('n2', 'D', 'fragment_supported_discover', 'class_consensus_pair', 2), ('n3', 'D', 'candidate', 'failed', 2)) t(node_id, target_entity_id, annotation_status, fragment_gate_level, network_depth)
 """,
-    "first_in_island": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN CAST(length(text) AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM conversations",
     "formula_consensus": """
 WITH c AS (SELECT p_brand AS entity_id, CASE p_size % 4 WHEN 0 THEN 'C6H12O6' WHEN 1 THEN 'H2O' WHEN 2 THEN 'NaCl' ELSE 'bad' END AS formula,
              CASE p_size % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS trust, p_partkey % 40 AS e, p_partkey AS ord FROM part),
@@ -198,11 +228,14 @@ SELECT CAST(doc_id AS VARCHAR) AS claim_id, coalesce(verdict, 'review') AS seman
 """,
     "domain_verdicts": r"""
 WITH c AS (SELECT doc_id AS claim_id, doc_id % 3 = 0 AS t, doc_id % 2 <> 0 AS ion,
-  trim(regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN 'Alpha' ELSE 'm/z 5' END || ' Beta ' || substr(text, 1, 300)), '[^a-z0-9]+', ' ', 'g')) AS h FROM documents),
+  trim(regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN 'Alpha' ELSE 'm/z 5' END || ' Beta ' || text), '[^a-z0-9]+', ' ', 'g')) AS h FROM documents),
 m AS (SELECT *, CASE WHEN t AND ion THEN 'msms_fragmentation_not_entity_transformation' ELSE '' END AS shape FROM c),
 x AS (SELECT *, CASE WHEN shape = '' THEN array_to_string(list_filter(['de la', 'the', 'und der'], lambda w: contains(h, w)), ';') ELSE '' END AS terms FROM m)
 SELECT claim_id, CASE WHEN shape <> '' OR terms = '' THEN 'reject' ELSE 'pass' END AS verdict,
   CASE WHEN shape <> '' THEN shape WHEN terms = '' THEN 'domain_relevance_not_established' ELSE '' END AS reason_code, terms FROM x
 """,
-    "recovered_losses": "SELECT * FROM (VALUES (1, 'recover', '312.05'), (2, 'reject', ''), (3, 'reject', ''), (4, 'reject', '')) t(claim_id, verdict, source_ion_mz)",
+    "recovered_losses": """
+WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_quantity AS q, l_suppkey % 5 AS off, l_returnflag AS f, l_partkey AS p FROM lineitem)
+SELECT claim_id, CASE WHEN off < 3 AND f <> 'A' AND p % 4 <> 0 THEN 'recover' ELSE 'reject' END AS verdict, CASE WHEN off < 3 AND f <> 'A' AND p % 4 <> 0 THEN CAST(CAST(q + 200 AS INTEGER) AS VARCHAR) || '.5' ELSE '' END AS source_ion_mz FROM l
+""",
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillmass.functions import chemistry, text
 from quillmass.operators import corpus, evidence, guards, inventory, network, reactions, registry, spectra, windows
@@ -12,7 +11,6 @@ from quillmass.operators.bandjoin import band_join
 from quillmass.sources.spectra import link_features
 
 SEARCHES = [("q1", "the and of ions"), ("q2", "de la les"), ("q3", "licensed under the GNU General Public License"), ("q4", "und der die the the")]
-FORMULAS = ["C6H12O6", "H2O", "C20H30O2+", "NaCl", "C2H5OH", "Xx2", "", "C0H2", "CaCO3", "c6h6"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +58,9 @@ def library_search(spark, d):
     rows = _peaks(spark, d).withColumn("peaks", spectra.top_peaks(F.col("raw"), 20))
     mz = (F.lit(200.0) + (F.col("vec_id") % 50) * 0.0015).alias("precursor_mz")
     common = [mz, F.lit(None).cast("double").alias("rt_min"), F.when(F.col("label") % 2 == 0, "positive").otherwise("negative").alias("ion_mode"), "peaks"]
-    queries = rows.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), *common)
-    library = rows.filter("vec_id % 10 <> 0").select(F.concat(F.lit("name"), (F.col("vec_id") % 40).cast("string")).alias("name"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("source"), F.lit("").alias("adduct"), *common)
-    hits = spectra.search_library(queries, library, spectra.MatchConfig(ppm=10.0, da=0.0021, top_k=3))
+    queries = rows.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "vec_id", *common)
+    library = rows.select("vec_id", F.concat(F.lit("name"), (F.col("vec_id") % 40).cast("string")).alias("name"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("source"), F.lit("").alias("adduct"), *common)
+    hits = spectra.search_library(queries, library, spectra.MatchConfig(ppm=10.0, da=0.0021, top_k=3), own="vec_id")
     return hits.select("query_id", "name", "source", "hit_rank", "matched_n", rounded("score", 5).alias("score"))
 
 
@@ -91,7 +89,7 @@ def fragment_specificity(spark, d):
 
 def link_audit(spark, d):
     features = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("feature_id"), (F.lit(100.0) + (F.col("o_custkey") % 3) * 0.01).alias("precursor_mz"), F.lit(1.0).alias("rt_min"), F.when(F.col("o_orderstatus") == "O", "positive").when(F.col("o_orderstatus") == "F", "negative").otherwise("").alias("ion_mode"), F.lit("").alias("adduct"), F.create_map().cast("map<string,string>").alias("metadata"))
-    records = table(spark, d, "lineitem").filter("l_linenumber <> 2 AND l_orderkey % 7 <> 0").select(
+    records = table(spark, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("feature_id"),
         F.col("l_linenumber").cast("string").alias("spectrum_id"),
         (F.lit(100.0) + (F.col("l_suppkey") % 5) * 0.01).alias("precursor_mz"),
@@ -134,9 +132,9 @@ def bfs_depth2(spark, d):
 
 
 def division(spark, d):
-    holdings = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
-    wanted = table(spark, d, "part").filter("p_partkey <= 2").select(F.col("p_partkey").alias("l_partkey"))
-    return evidence.covering_entities(holdings, wanted, "l_suppkey", "l_partkey")
+    """The customers with orders of every status that orders have."""
+    holdings = table(spark, d, "orders").select("o_custkey", "o_orderstatus")
+    return evidence.covering_entities(holdings, holdings.select("o_orderstatus"), "o_custkey", "o_orderstatus")
 
 
 def capped_combinations(spark, d):
@@ -148,9 +146,12 @@ def capped_combinations(spark, d):
 
 
 def formula_masses(spark, d):
-    rows = spark.createDataFrame([(f,) for f in FORMULAS], "formula string")
-    counts = chemistry.parse_formula(F.col("formula"))
-    return rows.select("formula", F.coalesce(chemistry.hill_formula(counts), F.lit("")).alias("hill"), rounded(chemistry.counts_mass(counts)).alias("mass"))
+    """A formula for each part, in an order of elements that is not Hill's; every tenth names an unknown element."""
+    number = lambda c: c.cast("int").cast("string")
+    size, n = F.col("p_size"), F.col("p_partkey")
+    made = F.concat(F.lit("N"), number(n % 40 + 1), F.when(size % 3 == 0, "Cl").otherwise(""), F.lit("H"), number(size % 7 + 2), F.lit("C"), number(size), F.lit("NC"), F.when(size % 10 == 0, "Xx").otherwise(""))
+    counts = chemistry.parse_formula(made)
+    return table(spark, d, "part").select("p_partkey", F.coalesce(chemistry.hill_formula(counts), F.lit("")).alias("hill"), rounded(chemistry.counts_mass(counts)).alias("mass"))
 
 
 def chunk_documents(spark, d):
@@ -158,9 +159,10 @@ def chunk_documents(spark, d):
 
 
 def rebuilt_documents(spark, d):
-    """Chunks put together again: the length of the text from its first to its last visible character."""
+    """Chunks put together again: a digest of the text without white space, and its length."""
     pages = corpus.rebuild_pages(chunk_documents(spark, d), ["doc_id"])
-    return pages.select("doc_id", F.length(F.regexp_replace("page_text", r"\s", "")).alias("n_visible"))
+    plain = F.regexp_replace("page_text", r"\s", "")
+    return pages.select("doc_id", F.length(plain).alias("n_visible"), F.md5(plain).alias("digest"))
 
 
 def evidence_alignment(spark, d):
@@ -170,12 +172,7 @@ def evidence_alignment(spark, d):
 
 
 def rare_terms(spark, d):
-    return table(spark, d, "documents").select("doc_id", corpus.rare_term_score(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("score"))
-
-
-def source_counts(spark, d):
-    top = table(spark, d, "documents").filter("source <> ''").groupBy("source").agg(F.count("*").alias("documents"))
-    return top.orderBy(F.desc("documents"), "source").limit(10)
+    return table(spark, d, "documents").select("doc_id", corpus.rare_term_score(F.col("text")).alias("score"))
 
 
 def zero_filled_types(spark, d):
@@ -183,10 +180,11 @@ def zero_filled_types(spark, d):
 
 
 def traceable_quotes(spark, d):
-    base = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "ß", "ss"))
-    docs = base.select("doc_id", F.substring("text", 5, 60).alias("quote"), F.array(F.upper("text")).alias("chunks"))
-    found = evidence.traceability(F.col("quote"), F.col("chunks"))
-    return docs.select("doc_id", found["status"].alias("status"))
+    """Whole texts, texts without blanks, and texts with every ninth word another, looked for in the text."""
+    odd = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 9 == 8, "Qqq").otherwise(w)), " ")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", " ", "")).otherwise(odd)
+    docs = table(spark, d, "documents").select("doc_id", quote.alias("quote"), F.array("text").alias("chunks"))
+    return docs.select("doc_id", evidence.traceability(F.col("quote"), F.col("chunks"))["status"].alias("status"))
 
 
 def inferred_transformations(spark, d):
@@ -230,13 +228,6 @@ def network_expansion(spark, d):
     return decisions.select("node_id", "target_entity_id", "annotation_status", "fragment_gate_level", "network_depth")
 
 
-def first_in_island(spark, d):
-    """Fill-forward over consecutive turns: the last user text length at or before each turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.length("text")).alias("own"))
-    return turns.select("conv_id", "turn", F.last("own", ignorenulls=True).over(w).alias("carried"))
-
-
 def formula_consensus(spark, d):
     """Formulas of types, brands as sources of trust, parts as evidence."""
     formulas = F.element_at(F.array(*[F.lit(f) for f in ("C6H12O6", "H2O", "NaCl", "bad")]), (F.col("p_size") % 4 + 1).cast("int"))
@@ -272,15 +263,18 @@ def critic_verdicts(spark, d):
 
 
 def domain_verdicts(spark, d):
-    claims = table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), F.when(F.col("doc_id") % 3 == 0, "transformation").otherwise("compound").alias("claim_type"), F.when(F.col("doc_id") % 2 == 0, "Alpha").otherwise("m/z 5").alias("source_entity"), F.lit("Beta").alias("target_entity"), F.substring("text", 1, 300).alias("evidence_quote"))
+    claims = table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), F.when(F.col("doc_id") % 3 == 0, "transformation").otherwise("compound").alias("claim_type"), F.when(F.col("doc_id") % 2 == 0, "Alpha").otherwise("m/z 5").alias("source_entity"), F.lit("Beta").alias("target_entity"), F.col("text").alias("evidence_quote"))
     concepts = spark.createDataFrame([("the", "compound"), ("Und der", "compound"), ("ab", "compound")], "name string, type string")
     return guards.domain_guard(claims, "De La", concepts).select("claim_id", "verdict", "reason_code", F.array_join("domain_terms", ";").alias("terms"))
 
 
 def recovered_losses(spark, d):
-    rows = [(1, "neutral_loss", True, "m/z 150.0 = 312.05 − 162.05", "162.05"), (2, "neutral_loss", True, "m/z 150.0 = 312.05 - 160", "160"), (3, "neutral_loss", False, "m/z 1=2-1", "1"), (4, "compound", True, "m/z 1=2-1", "1")]
-    df = spark.createDataFrame(rows, "claim_id int, claim_type string, traceable boolean, evidence_quote string, neutral_loss_mass string")
-    return guards.recover_losses(df).select("claim_id", "verdict", F.coalesce("source_ion_mz", F.lit("")).alias("source_ion_mz"))
+    """Lines as rejected losses: quotes of three ions, some that do not balance, some untraceable or of another type."""
+    mass = (F.col("l_quantity") + 200).cast("int").cast("string")
+    quote = F.concat(F.lit("m/z "), F.col("l_quantity").cast("int").cast("string"), F.lit(".5 = "), mass, F.lit(".5 − 20"), (F.col("l_suppkey") % 5 > 2).cast("int").cast("string"))
+    kind = F.when(F.col("l_partkey") % 4 == 0, "compound").otherwise("neutral_loss")
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), kind.alias("claim_type"), (F.col("l_returnflag") != "A").alias("traceable"), quote.alias("evidence_quote"), F.lit("200.0").alias("neutral_loss_mass"))
+    return guards.recover_losses(rows).select("claim_id", "verdict", F.coalesce("source_ion_mz", F.lit("")).alias("source_ion_mz"))
 
 
 def context_windows(spark, d):
@@ -315,12 +309,10 @@ QUERIES = {
         rebuilt_documents,
         evidence_alignment,
         rare_terms,
-        source_counts,
         zero_filled_types,
         traceable_quotes,
         inferred_transformations,
         network_expansion,
-        first_in_island,
         formula_consensus,
         learned_aliases,
         diagnostic_claims,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillmass.plans import claim_queries
 from quillmass.plans.oracles import ORACLE_SQL
 from quillmass.plans.queries import QUERIES
 
@@ -9,8 +10,8 @@ FLAGSHIP = "library_search"
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | claim_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | claim_queries.ORACLE_SQL
