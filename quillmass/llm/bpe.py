@@ -36,17 +36,43 @@ def byte_alphabet() -> list[str]:
     return [shown[b] if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def style(data: dict) -> str:
+    """``byte`` or ``word``: how a tokenizer file splits and normalizes; an error if it is none that this module reads."""
+    model, split, normal = data["model"], data.get("pre_tokenizer") or {}, data.get("normalizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    tokens = not any(t.get(k) for t in data["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if plain and tokens and not data.get("post_processor"):
+        if not normal and not model.get("end_of_word_suffix") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
+            return "byte"
+        steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+        parts = split.get("pretokenizers", [])
+        if (
+            steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+            and parts[0]["pattern"] == {"Regex": WORD_PATTERN.replace(r"\p{White_Space}", r"\s")}
+            and (parts[0]["behavior"], parts[0]["invert"]) == ("Removed", True)
+            and not parts[1].get("use_regex")
+            and not parts[1].get("add_prefix_space")
+            and model.get("end_of_word_suffix")
+            and not data.get("decoder")
+        ):
+            return "word"
+    raise ValueError("a tokenizer file of another kind: it would be counted or encoded wrongly")
+
+
 class Vocabulary:
-    """The model, merges and added tokens of a tokenizer file."""
+    """The model, merges and added tokens of a tokenizer file of one of the two kinds that are supported."""
 
     def __init__(self, content: str):
         data = json.loads(content)
+        self.style = style(data)
         self.key = hashlib.sha256(content.encode()).hexdigest()
         self.ids: dict[str, int] = data["model"]["vocab"]
         self.word_end: str = data["model"].get("end_of_word_suffix") or ""
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marks = {t[:2] for t in self.special}
         self.alphabet = byte_alphabet()
 
     def symbols(self, word: str) -> list[int]:
@@ -58,7 +84,7 @@ class Vocabulary:
 
     def parts(self, text: str) -> list[str]:
         """The text cut at the strings of added tokens; these stand at odd places."""
-        if self.split_special is None or "<|" not in text:
+        if self.split_special is None or not any(m in text for m in self.marks):
             return [text]
         return self.split_special.split(text)
 
@@ -67,6 +93,8 @@ class MergeCounter:
     """Counts tokens by heap-and-linked-list merging: initial symbols minus merges, without emitting ids."""
 
     def __init__(self, vocabulary: Vocabulary):
+        if vocabulary.style != "byte":
+            raise ValueError("only byte-level vocabularies are counted")
         self.vocabulary = vocabulary
         ids = vocabulary.ids
         self.symbol_of = [ids[c] for c in vocabulary.alphabet]
@@ -187,25 +215,26 @@ class Automaton:
     It starts as one state with a loop for every initial symbol. The merge gadget of (u, v), in rank order:
     u gets a state of its own (a copy of the state that its arcs led to), the arc v goes from that state, and
     wherever an arc u leaves there is now also an arc uv, to the state behind v. As an arc's label decides its
-    target, ``target[label]`` holds the arcs' ends. Removed arcs are kept with the step of their removal, as one
-    sorted table; an arc is there if its left spine was there at every step that built on it.
+    target, ``target[label]`` holds the arcs' ends.
 
-    A word has one accepted path. It is found from its start by taking the longest arc that spells the rest, then
-    shorter ones; as the prefix of a path has one path too, a place that led nowhere is not tried again. Whether
-    a state has an arc is worked out when first asked, then looked up in a table.
-    """
+    Transitions are tables. Labels are numbered so that uv follows u, with all that was built on u between them
+    (a walk of the tree in which u is the parent of uv, children by rank). What one gadget takes from a state is then a
+    run of numbers: v, and the children of v that are built later, with theirs. So a state's table is one bit for each
+    label, with runs cleared, and states with equal tables share one.
 
-    #: Entries of the arc table; it is forgotten, all at once, when there are more.
-    MAX_ARCS = 400_000
+    A word is read once, from left to right. Every prefix has one accepted path, so each place of the word gets one
+    state; from it, the labels that spell what follows are looked up in the state's table, and those that have an arc
+    give the states of the places behind them.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         ids = vocabulary.ids
-        self.target: dict[int, int] = {}
-        self.built: dict[int, tuple[int, int]] = {}
+        target: dict[int, int] = {}
+        built: dict[int, int] = {}  # the step of each label that a merge makes
+        children: dict[int, list[int]] = {}
         gone: list[dict[int, int]] = [{}]
         sharing = {0: 1 << 60}
-        target, built = self.target, self.built
         for step, (left, right) in enumerate(vocabulary.merges):
             u, v, w = ids[left], ids[right], ids[left + right]
             old = target.get(u, 0)
@@ -217,68 +246,73 @@ class Automaton:
                 sharing[target[u]] = 1
             gone[target[u]].setdefault(v, step)
             if w not in built:
-                built[w] = (u, step)
+                built[w] = step
+                children.setdefault(u, []).append(w)
                 target[w] = behind
                 sharing[behind] += 1
-        removed = sorted((state << 20 | label, step) for state, labels in enumerate(gone) for label, step in labels.items())
         self.n_states = len(gone)
-        self.removed = array("q", [r[0] for r in removed])
-        self.removed_at = array("i", [r[1] for r in removed])
-        # a trie over the labels finds the arcs that spell the rest of a word; a symbol is a byte, plus 256 at a word's end
-        self.step: dict[int, int] = {}
-        self.label_at: list[int] = [-1]
-        self.length = [0] * (max(ids.values()) + 1)
         code = {c: b for b, c in enumerate(vocabulary.alphabet)}
         end = vocabulary.word_end
+        spelled: dict[int, list[int]] = {}  # bytes, plus 256 for the last at a word's end
         for token, number in ids.items():
             closed = bool(end) and token.endswith(end) and len(token) > len(end)
             codes = [code[c] for c in (token[: -len(end)] if closed else token)]
             if closed:
                 codes[-1] += 256
-            if number not in built and len(codes) > 1:
-                continue  # no merge makes it
-            self.length[number] = len(codes)
+            if number in built or len(codes) == 1:  # else no merge makes it
+                spelled[number] = codes
+        number_of, behind_all = self._numbered([n for n in spelled if n not in built], children)
+        self.tables = self._tables(gone, built, children, number_of, behind_all)
+        # a trie over the labels: where a label ends, its number in the tables
+        self.step: dict[int, int] = {}
+        self.label_at: list[int] = [-1]
+        for number, codes in spelled.items():
             node = 0
             for symbol in codes:
                 node = self.step.setdefault(node << 9 | symbol, len(self.label_at))
                 if node == len(self.label_at):
                     self.label_at.append(-1)
             self.label_at[node] = number
-        # the next shorter label that a label begins with
-        self.shorter = [-1] * len(self.length)
-        above = {0: -1}
-        for key, node in sorted(self.step.items(), key=lambda kv: kv[1]):  # a node's parent is older than the node
-            nearest = above[key >> 9]
-            label = self.label_at[node]
-            if label >= 0:
-                self.shorter[label] = nearest
-            above[node] = label if label >= 0 else nearest
-        self.known: dict[int, bool] = {}
-        self.pattern = regex.compile(WORD_PATTERN if vocabulary.word_end else BYTE_PATTERN)
+        self.number_at = [number_of[label] if label >= 0 else -1 for label in self.label_at]
+        self.behind = [self.tables[target.get(label, 0)] if label >= 0 else b"" for label in self.label_at]
+        self.pattern = regex.compile(WORD_PATTERN if vocabulary.style == "word" else BYTE_PATTERN)
         self.words = BoundedCache(self.encode_word, 150_000)
         self.chunks = BoundedCache(self._encode_chunk, 200_000)
 
-    def _removal(self, state: int, label: int) -> int | None:
-        key = state << 20 | label
-        i = bisect.bisect_left(self.removed, key)
-        return self.removed_at[i] if i < len(self.removed) and self.removed[i] == key else None
-
-    def has_arc(self, state: int, label: int) -> bool:
-        """Whether the arc ``label`` leaves ``state`` after all gadgets."""
-        needed = 1 << 60
-        while True:
-            when = self._removal(state, label)
-            if when is not None and when <= needed:  # before, or by the gadget of a doubled label itself
-                return False
-            if label not in self.built:
-                return True
-            label, needed = self.built[label]
-
-    def _learn(self, key: int) -> bool:
-        if len(self.known) >= self.MAX_ARCS:
-            self.known.clear()
-        found = self.known[key] = self.has_arc(key >> 20, key & 0xFFFFF)
-        return found
+    @staticmethod
+    def _numbered(first: list[int], children: dict[int, list[int]]) -> tuple[dict[int, int], dict[int, int]]:
+        """Each label's number, and the number behind all that was built on it."""
+        number_of: dict[int, int] = {}
+        behind: dict[int, int] = {}
+        todo = [(label, False) for label in reversed(first)]
+        while todo:
+            label, left = todo.pop()
+            if left:
+                behind[label] = len(number_of)
+                continue
+            number_of[label] = len(number_of)
+            todo.append((label, True))
+            todo.extend((c, False) for c in reversed(children.get(label, ())))
+        return number_of, behind
+
+    @staticmethod
+    def _tables(gone: list[dict[int, int]], built: dict[int, int], children: dict[int, list[int]], number_of: dict[int, int], behind: dict[int, int]) -> list[bytes]:
+        """One bit for each label, for each state: whether the arc leaves it."""
+        import numpy as np
+
+        steps = {u: [built[w] for w in ws] for u, ws in children.items()}
+        shared: dict[bytes, bytes] = {}
+        out = []
+        for removed in gone:
+            there = np.ones(len(number_of), bool)
+            for label, step in removed.items():
+                there[number_of[label]] = False
+                later = bisect.bisect_left(steps.get(label, ()), step)  # by the same gadget, too, for a doubled label
+                if later < len(children.get(label, ())):
+                    there[number_of[children[label][later]] : behind[label]] = False
+            row = np.packbits(there, bitorder="little").tobytes()
+            out.append(shared.setdefault(row, row))
+        return out
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The labels of the one accepted path that spells a pre-split word."""
@@ -288,42 +322,28 @@ class Automaton:
             return ()
         if self.vocabulary.word_end:
             codes[-1] += 256
-        step, label_at, length, shorter, known, target = self.step.get, self.label_at, self.length, self.shorter, self.known, self.target
-        dead = bytearray(n + 1)
+        step, number_at, label_at, behind = self.step.get, self.number_at, self.label_at, self.behind
+        table: list = [None] * (n + 1)
+        table[0] = self.tables[0]
+        since, label_to = [0] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            arcs = table[at]
+            node, j = 0, at
+            while j < n:
+                node = step(node << 9 | codes[j])
+                if node is None:
+                    break
+                j += 1
+                number = number_at[node]
+                if number >= 0 and arcs[number >> 3] >> (number & 7) & 1:
+                    table[j], since[j], label_to[j] = behind[node], at, label_at[node]
+            if table[n] is not None:
+                break
         out: list[int] = []
-        states = [0]
-        at, fresh = 0, True
-        label = -1
-        while True:
-            if fresh:  # the longest label from here
-                label, node, j = -1, 0, at
-                while j < n:
-                    node = step(node << 9 | codes[j])
-                    if node is None:
-                        break
-                    if label_at[node] >= 0:
-                        label = label_at[node]
-                    j += 1
-            left = states[-1] << 20
-            while label >= 0:
-                if not dead[at + length[label]]:
-                    there = known.get(left | label)
-                    if there or there is None and self._learn(left | label):
-                        break
-                label = shorter[label]
-            if label < 0:
-                dead[at] = 1
-                label = out.pop()
-                states.pop()
-                at -= length[label]
-                label, fresh = shorter[label], False
-                continue
-            out.append(label)
-            at += length[label]
-            if at == n:
-                return tuple(out)
-            states.append(target.get(label, 0))
-            fresh = True
+        while n:
+            out.append(label_to[n])
+            n = since[n]
+        return tuple(out[::-1])
 
     def normalize(self, text: str) -> str:
         if text.isascii():

@@ -49,6 +49,59 @@ def test_automaton_of_a_byte_vocabulary(fuzz):
         assert list(automaton.encode_word(word)) == library.encode(word, add_special_tokens=False).ids, repr(word)
 
 
+def test_other_files_are_refused():
+    import json
+
+    for name, change in (("byte_bpe_50k.json", {"normalizer": {"type": "NFC"}}), ("byte_bpe_50k.json", {"pre_tokenizer": None}), ("word_bpe_49k.json", {"decoder": {"type": "ByteLevel"}})):
+        data = json.load(open(P.path(name), encoding="utf-8"))
+        assert bpe.style(data) in ("byte", "word")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(data | change))
+    with pytest.raises(ValueError):
+        bpe.MergeCounter(bpe.Vocabulary(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()))
+
+
+def test_query_columns_equal_the_library(spark, tmp_path):
+    """Every column of op4, op9 and op10 against the library, on edge cases and fuzzed texts."""
+    import hashlib
+
+    from quillmass.llm import queries
+
+    from .helpers import write_tables
+
+    random.seed(15)
+    rows = [(100 + i, "".join(random.choices(PARTS + ["word ", "and the "], k=random.randint(0, 700))), "en", "s", 1, None) for i in range(60)]
+    df = documents(spark).unionByName(documents(spark, rows))
+    folder = write_tables(spark, tmp_path, documents=df)
+    texts = [(r.doc_id, r.text or "") for r in df.collect()]
+    byte, word = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids4 = [(i, t, byte.encode(t, add_special_tokens=False).ids) for i, t in texts]
+    want4 = [(i, len(t.encode()), len(x), len(x) > 512) for i, t, x in ids4]
+    assert sorted(map(str, want4)) == sorted(str(tuple(r)) for r in queries.op4_token_counts(spark, folder).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want9 = [(i, len(x), sha(" ".join(map(str, x))), sha(word.decode(x, skip_special_tokens=False))) for i, x in ((i, word.encode(t, add_special_tokens=False).ids) for i, t in texts)]
+    assert sorted(map(str, want9)) == sorted(str(tuple(r)) for r in queries.op9_bpe_automaton(spark, folder).collect())
+    found = queries.op10_best_fit_packing(spark, folder).collect()
+    check_packing(found, 2048)
+    whole = {}
+    for i, _, x in ids4:
+        x = [*x, 0]
+        first = len(x) % 2048 or 2048
+        cuts = [0, *range(first, len(x), 2048), len(x)]
+        for k in range(len(cuts) - 1):
+            part = x[cuts[k] : cuts[k + 1]]
+            row = (i, k, cuts[k], len(part), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in part)))
+            whole[row] = whole.get(row, 0) + 1
+    got = {}
+    for r in found:
+        row = (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+        got[row] = got.get(row, 0) + 1
+    assert got == whole
+    for query in (queries.op4_token_counts, queries.op9_bpe_automaton, queries.op10_best_fit_packing):
+        empty = write_tables(spark, tmp_path / "empty", documents=df.limit(0))
+        assert query(spark, empty).count() == 0
+
+
 def test_columns_on_edge_cases(spark):
     df = documents(spark)
     counts = tokens.count_tokens(df, P.path("byte_bpe_50k.json"))
