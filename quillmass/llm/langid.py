@@ -6,7 +6,10 @@ by their length; no part of a text is left out. ``und`` (score 0) stands for nul
 
 Training reads at most ``Sample.rows`` labelled rows, spread evenly over the languages, chosen by hash of their id
 and text; the network is a few thousand numbers, so it is sent with the function. With no labelled row at all,
-every text is ``und``.
+every text is ``und`` and the pipeline's stage keeps all.
+
+Every row is judged by its own text: repeated rows get equal results, ties of probability go to the first language
+in order, ids may be null (never held out), and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import text_or_empty
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 
@@ -168,33 +170,45 @@ def windows_of(text: bytes, size: int, most: int) -> list[bytes]:
     return [text[s : s + size].ljust(size, b"\0") for s in starts[::step][:most]]
 
 
-def train(labelled: DataFrame, sample: Sample = Sample(), shape: Shape = Shape(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> ByteNet | None:
-    """A network from at most ``sample.rows`` rows of ``labelled``, None if it has no labelled text.
+def sample_rows(labelled: DataFrame, sample: Sample, span: int, text_col: str, lang_col: str, id_col: str) -> tuple[list[str], list]:
+    """The languages, and lang, key, text of at most a share of rows for each, all chosen by a hash of id and text.
 
-    First the rows of each language are counted; then every language gives the rows whose hash falls under its
-    share, so that neither step moves more than the sample to the driver.
+    Repeated rows have one hash and count once, so neither they nor rows without id crowd out others. The hash first
+    leaves about 1.2 shares of each language; of these a window keeps exactly one share, so the driver never gets more
+    than ``sample.rows`` rows of ``span`` characters. A language that the hash leaves without rows is tried again with a wider one.
     """
     has = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in has.groupBy(lang_col).count().collect()}
-    if not counts:
-        return None
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    keyed = has.select(F.col(lang_col).alias("lang"), key.alias("key"), F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)).alias("turn"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("whole"))
+    counts = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
     languages = sorted(counts)
-    share = max(1, sample.rows // len(languages))
-    # a hash of 30 bits under the threshold keeps about 1.2 shares of a language; the driver keeps exactly one
-    cuts = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 30, int((1.2 * share + 20) / n * (1 << 30)) + 1)))])
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(1 << 30))
-    span = shape.window * 8 * sample.windows_per_row
+    share = max(1, sample.rows // max(1, len(languages)))
     # a long text is read from a place of its own, not always from its start
-    at = F.lit(1) + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.lit(1), F.length(text_col) - span).cast("long")).cast("int")
-    rows = has.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).substr(at, F.lit(span)).alias("text")).filter(F.col("key") < F.element_at(cuts, F.col("lang"))).collect()
+    at = F.lit(1) + F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("whole") - span).cast("long")).cast("int")
+    found, left, wider = [], languages, 1.2
+    while left:
+        cuts = F.create_map(*[x for lang in left for x in (F.lit(lang), F.lit(min(1 << 30, int((wider * share + 20) / max(1, counts[lang]) * (1 << 30)) + 1)))])
+        few = keyed.filter(F.col("lang").isin(left) & (F.col("turn") < F.element_at(cuts, F.col("lang"))))
+        once = few.select("lang", "key", "turn", F.col("whole").substr(at, F.lit(span)).alias("text")).dropDuplicates(["lang", "key"])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "key"))
+        rows = once.withColumn("place", place).filter(F.col("place") <= share).select("lang", "key", "text").collect()
+        found += rows
+        left = sorted(set(left) - {r.lang for r in rows})
+        wider *= 16
+    return languages, found
+
+
+def train(labelled: DataFrame, sample: Sample = Sample(), shape: Shape = Shape(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> ByteNet | None:
+    """A network from at most ``sample.rows`` rows of ``labelled``, None if it has no labelled text."""
+    span = shape.window * 8 * sample.windows_per_row
+    languages, rows = sample_rows(labelled, sample, span, text_col, lang_col, id_col)
     windows, labels = [], []
-    taken = dict.fromkeys(languages, 0)
-    for lang, _, text in sorted(rows, key=lambda r: (r[1], r[2])):
-        if taken[lang] < share:
-            taken[lang] += 1
-            for w in windows_of(text.encode("utf-8", "replace"), shape.window, sample.windows_per_row):
-                windows.append(np.frombuffer(w, np.uint8))
-                labels.append(languages.index(lang))
+    for lang, _, text in sorted(rows, key=lambda r: (r[1], r[0])):
+        for w in windows_of(text.encode("utf-8", "replace"), shape.window, sample.windows_per_row):
+            windows.append(np.frombuffer(w, np.uint8))
+            labels.append(languages.index(lang))
+    if not windows:
+        return None
     return ByteNet(languages, shape).fit(np.array(windows), np.array(labels))
 
 

@@ -6,7 +6,9 @@ alt) stay with their reference, and positions count both kinds. ``interleaved``
 in order. Payloads are kept in a content-addressed table as binary images: 8-bit RGB samples, 8 pixels a row, the
 samples as they are (so stored bytes can be read back without loss).
 
-Null HTML is an empty sequence; a reference whose digest no payload has stays, with null payload columns.
+Null HTML is an empty sequence; a reference whose digest no payload has stays, with null payload columns. Repeated
+rows each get their sequence, and equal texts equal values; null texts are empty ones, which are stored as 192 blanks.
+Ids are read as longs (others count as null). An empty table gives no rows, and work columns avoid the input's names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, text_or_empty
+from .common import cut, fresh, stored, text_or_empty
 
 #: Bytes of a payload unit: 8 rows of 8 pixels of 3 samples.
 UNIT = 192
@@ -133,33 +135,37 @@ def from_image(image: bytes) -> tuple[int, int, bytes]:
     return width, height, samples
 
 
-def payload_page(digest: str, caption: str) -> str:
-    """A page that refers to one payload, with its caption."""
-    return f'<article><figure><img src="{PREFIX}{digest}" alt=""><figcaption>{markup.escape(caption)}</figcaption></figure></article>'
+def payload_page(digest: str, n_bytes: int) -> str:
+    """A page of three items that depends on the payload alone: a text, the payload with its caption, a text."""
+    caption = markup.escape(f"{n_bytes} bytes of text & blanks")
+    return f'<article><p>The text as samples:</p><figure><img src="{PREFIX}{digest}" alt=""><figcaption>{caption}</figcaption></figure><p>End of the text.</p></article>'
 
 
 def store_texts(documents: DataFrame, label: str = "media") -> DataFrame:
-    """doc_id, n_bytes, page, digest, media: every text's payload as a stored image and a page that refers to it."""
+    """row (unique), doc_id, n_bytes, page, digest, media: every text's payload as a stored image and a page that refers to it."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             rows = []
-            for key, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(2).to_pylist():
                 image = to_image(padded(text))
                 digest = hashlib.sha256(image).hexdigest()
-                rows.append((len(text.encode("utf-8", "replace")), payload_page(digest, f"document {key}"), digest, image))
+                n = len(text.encode("utf-8", "replace"))
+                rows.append((n, payload_page(digest, n), digest, image))
             n, pages, digests, images = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "page", "digest", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["row", "doc_id", "n_bytes", "page", "digest", "media"])
 
-    made = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return stored(made.mapInArrow(run, "doc_id long, n_bytes long, page string, digest string, media binary"), label)
+    made = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return stored(made.mapInArrow(run, "row long, doc_id long, n_bytes long, page string, digest string, media binary"), label)
+
+
+READ = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def read_back(payloads: DataFrame) -> DataFrame:
-    """One row for each digest: what the stored bytes hold. Copies of a payload count once."""
+    """One row for each digest: what the stored bytes hold, and the number of copies."""
 
     def run(batches):
         import numpy as np
@@ -173,29 +179,59 @@ def read_back(payloads: DataFrame) -> DataFrame:
                 out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), f"rgb {width}x{height} mean " + " ".join(f"{m:.3f}" for m in means)))
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", *READ])
 
     read = payloads.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return cut(read.dropDuplicates(["digest"]))
+    return cut(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in READ], F.count("*").alias("copies")))
 
 
-def resolve(pages: DataFrame, page: str, payloads: DataFrame) -> DataFrame:
-    """The rows of ``pages``, one for each item of their sequence (column ``item``), with the payload's columns.
+#: A digest that more than this part of all references name is hot (there are at most so many), and is joined in SALTS parts.
+HOT, SALTS = 1000, 32
 
-    ``payloads`` has one row for each digest. Rows without items give none.
-    """
-    items = pages.withColumn("item", F.explode(interleaved(F.col(page)))).drop(page)
-    return items.join(payloads.withColumnRenamed("digest", "_digest"), F.col("item.digest") == F.col("_digest"), "left").drop("_digest")
+
+def hot_digests(counted: DataFrame, count: str = "copies") -> DataFrame:
+    """The digests (at most HOT) of over 1/HOT of all references, from their numbers."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return counted.filter(F.col(count) * HOT > total).select("digest")
 
 
-def assemble(resolved: DataFrame, key: list[str], payload: Column) -> DataFrame:
-    """The sequences again: ``key`` and items (position, kind, text, digest, caption, payload) in order."""
-    item = F.struct("item.position", "item.kind", "item.text", "item.digest", "item.caption", payload.alias("payload"))
-    return resolved.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most a page's items
+def resolve(pages: DataFrame, page: str, payloads: DataFrame, hot: DataFrame | None = None, item: str = "item") -> DataFrame:
+    """The rows of ``pages`` without ``page``, one for each item of their sequence (column ``item``), with the payload's columns.
+
+    ``payloads`` has one row for each digest and the columns digest and others that ``pages`` lacks. Rows without
+    items give none. References to ``hot`` digests (at most HOT rows) are spread over copies of their payload rows.
+    """
+    digest, salt, own, own_salt, is_hot = fresh([*pages.columns, *payloads.columns, item], "ref", "salt", "own", "own_salt", "is_hot")
+    items = pages.withColumn(item, F.explode(interleaved(F.col(page)))).drop(page).withColumn(digest, F.col(f"{item}.digest"))
+    given = payloads.withColumnRenamed("digest", own)
+    if hot is None:
+        items, given = items.withColumn(salt, F.lit(0)), given.withColumn(own_salt, F.lit(0))
+    else:
+        marked = F.broadcast(hot.limit(HOT).select(F.col("digest").alias(is_hot)))
+        spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+        items = items.join(marked, F.col(digest) == F.col(is_hot), "left").withColumn(salt, F.when(F.col(is_hot).isNotNull(), spread).otherwise(0)).drop(is_hot)
+        copies = F.when(F.col(is_hot).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        given = given.join(marked, F.col(own) == F.col(is_hot), "left").withColumn(own_salt, F.explode(copies)).drop(is_hot)
+    # texts have no digest and need no payload: they do not take part in the join
+    found = items.filter(F.col(digest).isNotNull()).join(given, (F.col(digest) == F.col(own)) & (F.col(salt) == F.col(own_salt)), "left").drop(digest, salt, own, own_salt)
+    return found.unionByName(items.filter(F.col(digest).isNull()).drop(digest, salt), allowMissingColumns=True)
+
+
+def assemble(resolved: DataFrame, key: list[str], payload: Column, item: str = "item") -> DataFrame:
+    """The sequences again: ``key`` (of one page) and items (position, kind, text, digest, caption, payload) in order."""
+    whole = F.struct(*[F.col(f"{item}.{c}").alias(c) for c in ("position", "kind", "text", "digest", "caption")], payload.alias("payload"))
+    return resolved.groupBy(*key).agg(F.array_sort(F.collect_list(whole), lambda a, b: (a["position"] - b["position"]).cast("int")).alias("items"))  # at most a page's items
 
 
 def media_columns(documents: DataFrame) -> DataFrame:
-    """Every text stored as an image, referred to by a page, resolved by digest and read back."""
+    """Every text stored as an image, referred to by a page, resolved by digest, put back in order and read.
+
+    Beside the payload's columns: the caption that stands with the payload, its place and the number of items.
+    """
     kept = store_texts(documents)
-    found = resolve(kept.select("doc_id", "n_bytes", "page"), "page", read_back(kept))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.caption").alias("caption"))
+    read = read_back(kept)
+    key = ["row", "doc_id", "n_bytes"]
+    found = resolve(kept.select(*key, "page"), "page", read.drop("copies"), hot_digests(read))
+    whole = assemble(found, key, F.struct(*READ))
+    media = whole.withColumn("media", F.element_at(F.filter("items", lambda i: i["kind"] == "media"), 1))
+    return media.select("doc_id", "n_bytes", *[F.col(f"media.payload.{c}").alias(c) for c in READ], F.col("media.caption").alias("caption"), F.col("media.position").alias("position"), F.size("items").alias("n_items"))

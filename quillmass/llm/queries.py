@@ -11,7 +11,11 @@ from .common import table
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-#: Production rules: the given host rules, and patterns for hosts of spam and advertising.
+#: Host names that sell, bet or track are made of two such words; paths that do have the two as directories.
+FIRST = "adult ads affiliate bargain best bet bonus bulk buy cam casino cash cheap click coin coupon crypto dating deal diet download earn escort fast free gamble hot instant jackpot keygen lottery lucky mega payday pharma pills poker prize promo quick replica slots spam traffic warez win xxx".split()
+SECOND = "bets bonus boost cards cash chat clicks club codes coins cracks deals dice exchange farm games gold leads links live loans market meds offer pay pills play prizes profit promo pump rewards rush sale shop slots spin sport store stream tips track video vip watches win x zone".split()
+
+#: Production rules: the given host rules, and patterns by the rule above (some 5000).
 RULES = urls.RuleSet(
     hosts=(
         urls.HostRule("allow", "org/"),
@@ -20,14 +24,7 @@ RULES = urls.RuleSet(
         urls.HostRule("allow", "com/fr/"),
         urls.HostRule("block", "com/de/"),
     ),
-    patterns=(
-        urls.PatternRule("block", "casino-win."),
-        urls.PatternRule("block", "cheap-pills."),
-        urls.PatternRule("block", "spam-farm."),
-        urls.PatternRule("block", "adult-x."),
-        urls.PatternRule("block", "free-bets."),
-        urls.PatternRule("block", "ads-track."),
-    ),
+    patterns=tuple(urls.PatternRule("block", shape.format(a, b)) for shape in ("{}-{}.", "/{}/{}/") for a in FIRST for b in SECOND),
 )
 
 
@@ -103,21 +100,19 @@ WITH cut AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM cut
-), patterned AS (
-  SELECT *, CASE
-    WHEN contains(host || path, 'casino-win.') THEN 'casino-win.'
-    WHEN contains(host || path, 'cheap-pills.') THEN 'cheap-pills.'
-    WHEN contains(host || path, 'spam-farm.') THEN 'spam-farm.'
-    WHEN contains(host || path, 'adult-x.') THEN 'adult-x.'
-    WHEN contains(host || path, 'free-bets.') THEN 'free-bets.'
-    WHEN contains(host || path, 'ads-track.') THEN 'ads-track.' END AS method_rule
-  FROM ruled
+), first AS (SELECT unnest(string_split('{FIRST}', ' ')) AS a, generate_subscripts(string_split('{FIRST}', ' '), 1) AS i
+), second AS (SELECT unnest(string_split('{SECOND}', ' ')) AS b, generate_subscripts(string_split('{SECOND}', ' '), 1) AS j
+), pattern AS (
+  SELECT a || '-' || b || '.' AS p, 0 AS k, i, j FROM first, second UNION ALL SELECT '/' || a || '/' || b || '/', 1, i, j FROM first, second
+), subject AS (SELECT DISTINCT host || path AS s FROM ruled
+), hit AS (SELECT s, arg_min(p, (k * 1000 + i) * 1000 + j) AS method_rule FROM subject JOIN pattern ON contains(s, p) GROUP BY s
+), patterned AS (SELECT ruled.*, hit.method_rule FROM ruled LEFT JOIN hit ON hit.s = host || path
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN method_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, method_rule
 FROM patterned
-""",
+""".replace("{FIRST}", " ".join(FIRST)).replace("{SECOND}", " ".join(SECOND)),
     "op3_exact_top_k": """
 WITH whole AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x

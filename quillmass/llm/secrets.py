@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-
 #: In the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
 SPANS = "array<struct<kind:string,start:int,end:int>>"

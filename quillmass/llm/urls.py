@@ -2,10 +2,11 @@
 
 Every rule is a regular expression with the literal tokens that any fitting URL must hold. A rule is indexed
 under its rarest token (fewest rules hold it; of these the longest); a URL's tokens fetch candidate rules, and
-only candidates run their expression. Small rule sets are looked up in a literal map; larger ones are joined
-on the token. Rules are a parameter and bounded by ``MAX_RULES``.
+only candidates run their expression. The index is a hash table in the plan: an array of buckets, each with its
+tokens, rules and expressions, so a token costs one place of an array. Sets of over ``MAX_INLINE`` rules are joined
+on the token instead. Rules are a parameter and bounded by ``MAX_RULES``.
 
-Null URLs and URLs without ``://`` have empty host and path, fit no rule and are allowed. Rows are judged one by
+Very long URLs are judged whole; of equal rules the first decides. An empty table gives no rows. Null URLs and URLs without ``://`` have empty host and path, fit no rule and are allowed. Rows are judged one by
 one, so repeated rows, null ids and extra columns do not matter.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 200_000
-#: Up to here the index is a literal in the plan; a map is searched in order, so larger sets are joined.
-MAX_INLINE = 64
+#: Up to here the index is a literal in the plan (some 100 bytes a rule); larger sets are joined.
+MAX_INLINE = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALWAYS = ""
 
@@ -53,7 +55,9 @@ class PatternRule:
 
     @property
     def expression(self) -> str:
-        return "(?s)" + ".*".join(quoted(p) for p in self.rule.split("*"))
+        # each part at its first place behind the one before, without trying others: linear in the URL
+        parts = [quoted(p) for p in self.rule.split("*")]
+        return "(?s)" + (parts[0] if len(parts) == 1 else "^" + "".join(f"(?>.*?{p})" for p in parts))
 
     @property
     def tokens(self) -> list[str]:
@@ -104,12 +108,20 @@ def url_tokens(subject: Column) -> Column:
 
 
 def _fits_inline(subject: Column, rules: list, index: dict) -> Column:
+    """The numbers of the rules that fit: a token's bucket, its entries of that token, and of these the expressions that match."""
     if not rules:
         return F.array().cast("array<int>")
-    table = F.from_json(F.lit(json.dumps(index)), "map<string,array<int>>")
-    expressions = F.from_json(F.lit(json.dumps([r.expression for r in rules])), "array<string>")
-    fetched = F.flatten(F.transform(url_tokens(subject), lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<int>"))))
-    return F.filter(fetched, lambda n: F.rlike(subject, F.element_at(expressions, n + 1)))
+    size = 1 << max(1, (2 * len(index) - 1).bit_length())
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for token, numbers in index.items():
+        buckets[zlib.crc32(token.encode()) % size] += [{"t": token, "n": n, "e": rules[n].expression} for n in numbers]
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<t:string,n:int,e:string>>>")
+
+    def fetched(token: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(token.cast("binary")), F.lit(size)).cast("int"))
+        return F.transform(F.filter(bucket, lambda r: (r["t"] == token) & F.rlike(subject, r["e"])), lambda r: r["n"])
+
+    return F.flatten(F.transform(url_tokens(subject), fetched))
 
 
 def _fits_joined(pages: DataFrame, rules: list, index: dict) -> DataFrame:

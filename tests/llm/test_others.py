@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -49,6 +50,18 @@ def test_language_without_labels(spark):
     assert langid.keep_identified(df, net).count() == df.count()
 
 
+def test_training_sample_is_bounded(spark):
+    """20 000 equal rows without id, beside few of another language: one row stands for all of them."""
+    rows = [(None, "ein und derselbe Satz", "de", "s", 1, None)] * 20_000 + [(i, f"the row number {i} of many words", "en", "s", 1, None) for i in range(500)] + [(7, "un seul", "fr", "s", 1, None)]
+    df = documents(spark, rows)
+    languages, found = langid.sample_rows(df, langid.Sample(rows=60), 100, "text", "lang", "doc_id")
+    counts = {lang: sum(r.lang == lang for r in found) for lang in languages}
+    assert counts["de"] == counts["fr"] == 1 and 10 <= counts["en"] <= 20
+    net = langid.train(df, langid.Sample(rows=60))
+    assert {r.lang_pred for r in langid.identify(df.filter("doc_id = 7"), net).collect()} <= {"de", "en", "fr"}
+    assert langid.train(df.limit(0)) is None and langid.identify(df.limit(0), net).count() == 0
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = langid.ByteNet(["a", "b"], langid.Shape(window=12, embedding=3, widths=(2, 3), filters=4))
@@ -85,6 +98,35 @@ def test_url_rules(spark, inline):
     assert by_id[10][2:] == (None, "block") and by_id[13][2:] == ("org/", "allow") and by_id[14][2:] == ("com/de/", "block")
 
 
+@pytest.mark.parametrize("inline", [True, False])
+def test_thousands_of_rules_equal_running_every_rule(spark, inline):
+    rng = random.Random(12)
+    words = queries.FIRST[:12] + queries.SECOND[:12] + ["a", "news", "x1"]
+    hosts = [urls.HostRule(rng.choice(["allow", "block"]), f"{rng.choice(words)}.{rng.choice(['com', 'org', 'net'])}/{'/'.join(rng.choices(words, k=rng.randint(0, 2)))}") for _ in range(300)]
+    hosts = list({r.rule: r for r in hosts}.values())
+    patterns = tuple(urls.PatternRule(rng.choice(["allow", "block", "block"]), s) for s in sorted({rng.choice(["{}-{}.", "/{}/{}/", "/{}/*/{}.", "{}*{}", ".{}/{}"]).format(*rng.choices(words, k=2)) for _ in range(2000)}))
+    rules = urls.RuleSet(tuple(hosts), patterns)
+    found_urls = [f"https://{rng.choice(['', 'www.', 'a.b.'])}{'-'.join(rng.choices(words, k=rng.randint(1, 2)))}.{rng.choice(['com', 'org', 'net'])}/{'/'.join(rng.choices(words, k=rng.randint(0, 4)))}{rng.choice(['', '/', '.html', '/?q=a-b.'])}" for _ in range(90)] + ["http://a.com/" + "/".join(rng.choices(words, k=2000)), None, ""]
+    df = spark.createDataFrame(list(enumerate(found_urls)), "page_id long, url string")
+    ordered = rules.ordered()
+    for r in urls.judge(df, rules, inline=inline).collect():
+        subject = r.host + r.path
+        fits = [n for n, rule in enumerate(ordered) if re.search(rule.expression, subject)]
+        host = max((n for n in fits if n < len(hosts)), default=None)
+        allowed = [n for n in fits if n >= len(hosts) and ordered[n].verdict == "allow"]
+        pattern = min(allowed or [n for n in fits if n >= len(hosts)], default=None)
+        decided = host if host is not None else pattern
+        assert (r.rule, r.verdict, r.method_rule) == (host if host is None else ordered[host].rule, "allow" if decided is None else ordered[decided].verdict, pattern if pattern is None else ordered[pattern].rule)
+
+
+def test_url_query_on_edge_cases(spark, tmp_path):
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*URLS, "http://a.net/" + "x/" * 100_000 + "casino/win/"])], "page_id long, url string, verdict string, rule string")
+    found = {r.page_id: r for r in queries.op2_url_filters(spark, write_tables(spark, tmp_path, pages=df)).collect()}
+    assert len(found) == len(URLS) + 1 and found[len(URLS)].method_rule == "/casino/win/" and found[10].method_rule == "casino-win."
+    assert queries.op2_url_filters(spark, write_tables(spark, tmp_path / "empty", pages=df.limit(0))).count() == 0
+    assert len(queries.RULES.patterns) > 4000
+
+
 def test_rules_are_indexed_by_their_rarest_token(spark):
     index = queries.RULES.index()
     ordered = queries.RULES.ordered()
@@ -200,6 +242,25 @@ def test_keys_after_an_equals_sign():
             assert value not in secrets.redacted(text)
 
 
+def test_base_spans_equal_the_plain_patterns(spark, tmp_path):
+    """The base columns of op7 against the given patterns, applied one by one, on random texts of their parts."""
+    rng = random.Random(13)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "'", '"', " ", "  ", ":", "=", "AKIA", "ABCDEFGH", "0123456789", "abcdef", "/+._-", "\n", "é", "\t", "x"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(400)]
+    folder = write_tables(spark, tmp_path, documents=documents(spark, [(i, t, "en", "s", 1, None) for i, t in enumerate(texts)]))
+    for r in queries.op7_secret_scan(spark, folder).collect():
+        text = texts[r.doc_id]
+        assign = [m.span() for m in re.finditer("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
+        access = [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        hexes = [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert (r.n_assign, r.n_access, r.n_hex) == (len(assign), len(access), len(hexes))
+        spans = sorted((a, k, b) for k, found in enumerate((assign, access, hexes)) for a, b in found)
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
+    assert queries.op7_secret_scan(spark, write_tables(spark, tmp_path / "empty", documents=documents(spark).limit(0))).count() == 0
+
+
 def test_base_secrets(spark, tmp_path):
     texts = ["Password: 'abcdefghijkl' x", "token:secret:abcdefghijklmnop", "AKIAABCDEFGHIJKLMN AKIAABC", "0123456789abcdef 0123456789abcde", "ſecret=abcdefghijklmnop", "api_key = short", "apikey=0123456789abcdef0"]
     rows = [(i + 10, t, "en", "s", 1, None) for i, t in enumerate(texts)]
@@ -232,6 +293,28 @@ def test_sequences_keep_order_and_captions(spark):
     assert len(whole) == 1 and [(i.kind, i.payload) for i in whole[0]["items"]] == [("text", None), ("media", b"bytes"), ("text", None), ("media", None)]
 
 
+def test_real_pages_with_hot_payloads(spark):
+    """All pages, each with media after some of its paragraphs, one of them on every page, against the parse on the driver."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").limit(40).collect()
+    rows = []
+    for n, (page_id, html) in enumerate(pages):
+        extra = "".join(f'<figure><img src="sha256:{d}"><figcaption>about {d} &amp; {n}</figcaption></figure><p>after {d}</p>' for d in ("logo", f"d{n % 7}", "unknown"))
+        rows.append((page_id, (html or "") + extra, "x", n))
+    df = spark.createDataFrame(rows, "page_id long, html string, ref string, salt int")
+    payloads = spark.createDataFrame([(d, d.encode()) for d in ["logo", *[f"d{k}" for k in range(7)]]], "digest string, media binary")
+    hot = spark.createDataFrame([("logo",)], "digest string")
+    for part in (None, hot):
+        found = media.assemble(media.resolve(df, "html", payloads, part), ["page_id", "ref", "salt"], F.col("media")).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            page = next(x[1] for x in rows if x[0] == r.page_id)
+            want = [(i["position"], i["kind"], i["text"], i["digest"], i["caption"]) for i in media.parse_sequence(page)]
+            assert [tuple(i)[:5] for i in r["items"]] == want and len(want) >= 6
+            assert all(i.payload == (i.digest.encode() if i.digest and i.digest != "unknown" else None) for i in r["items"])
+    counted = spark.createDataFrame([("a", 5000), ("b", 3), ("c", 4)], "digest string, copies long")
+    assert [r.digest for r in media.hot_digests(counted).collect()] == ["a"] and media.hot_digests(counted.limit(0)).count() == 0
+
+
 def test_media_round_trip(spark, tmp_path):
     df = documents(spark)
     folder = write_tables(spark, tmp_path, documents=df)
@@ -245,5 +328,13 @@ def test_media_round_trip(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest())
         assert media.from_image(image)[2] == payload
+        means = np.frombuffer(payload, np.uint8).reshape(-1, 3).astype(float).mean(axis=0)
+        assert r.feature == f"rgb 8x{len(payload) // 24} mean " + " ".join(f"{m:.3f}" for m in means)
+        assert (r.position, r.n_items) == (1, 3) and r.caption.startswith(f"{len(data)} bytes")
+    values = {}
+    for r in rows:
+        values.setdefault(texts[r.doc_id], set()).add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in values.values())  # equal texts, equal values
+    assert queries.op8_media_columns(spark, write_tables(spark, tmp_path / "empty", documents=df.limit(0))).count() == 0
     with pytest.raises(ValueError):
         media.from_image(b"P6\n8 9\n255\nshort")
