@@ -1 +1 @@
-
+"""Structured Streaming over what arrives in folders."""
