@@ -162,7 +162,7 @@ def brute_top_k(rows, queries, k=10):
     return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(rows[q], v, strict=True)), i) for i, v in rows.items() if i != q)[:k])] for q in queries}
 
 
-@pytest.mark.parametrize(("size", "dim", "spread"), [(2e5, 8, 0), (100, 8, 1), (1e4, 6, 1), (1e6, 3, 0), (1, 16, 1)])
+@pytest.mark.parametrize(("size", "dim", "spread"), [(2e5, 8, 0), (1e4, 6, 1), (1e6, 3, 0)])
 def test_top_k_of_large_values_in_many_cells(spark, size, dim, spread):
     rng = np.random.default_rng(5)
     rows = {i: [float(x) for x in rng.uniform(-1, 1, dim) * size * rng.lognormal(0, 1) ** spread] for i in range(300)}
