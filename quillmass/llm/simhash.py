@@ -35,21 +35,29 @@ MAX_BROADCAST_ROWS = 250_000
 PROBE_COST = 2.0
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of a text: a bit is set if over half of the shingles' hashes have it."""
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; none for a blank text."""
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
     w = text.lower().split()  # bytes: lowers A-Z only, splits at blanks and 9 to 13 only
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
-    n = max(1, len(w) - words + 1)
+    return np.fromiter((hashed(s, 42) for s in shingles), dtype="<u8", count=max(1, len(w) - words + 1))
+
+
+def _majority(h: np.ndarray) -> int:
+    """A bit is set if over half of the hashes have it."""
     counts = np.zeros(BITS, np.int64)
-    h = np.fromiter((hashed(s, 42) for s in shingles), dtype="<u8", count=n)
-    for at in range(0, n, 8192):
+    for at in range(0, len(h), 8192):
         counts += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of a text: a bit is set if over half of the shingles' hashes have it."""
+    return _majority(_shingles(text, words))
 
 
 def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
@@ -231,16 +239,13 @@ def near_duplicates(documents: DataFrame, words: int = 3, reach: int = 2) -> Dat
     return found.join(by_fingerprint, "f").select("doc_id", shown, "component_id")
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    return np.unique(h.view(np.int64)) if len(h) else np.zeros(1, np.int64)
+
+
 def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles, which stand for its set of shingles. A blank text has one, 0."""
-    import xxhash
-
-    w = text.lower().split()
-    if not w:
-        return np.zeros(1, np.int64)
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(s, 42) for s in shingles), dtype="<u8", count=max(1, len(w) - words + 1)).view(np.int64))
+    return _distinct(_shingles(text, words))
 
 
 def _set_key(hashes: np.ndarray) -> int:
@@ -278,7 +283,7 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key, f (a hash of the set of shingles), n (its size), odd (a sketch) and its prefix, for every row.
+    """doc_id, text_key, f (a hash of the set of shingles), n (its size), s (its fingerprint), odd (a sketch) and its prefix, for every row.
 
     Sets of similarity 4/5 or more share at least 4/5 of the larger one, so in any one order of all shingles the first
     n - ceil(4n/5) + 1 of each have one in common. The order puts common shingles last.
@@ -290,18 +295,20 @@ def prefixes(documents: DataFrame, words: int, common: np.ndarray) -> DataFrame:
 
         last = spread.value
         for batch in batches:
-            f, n, first, odd = [], [], [], []
+            f, n, s, first, odd = [], [], [], [], []
             for t in batch.column(2).cast(pa.binary()).to_pylist():
-                h = shingle_hashes(t, words)
+                every = _shingles(t, words)
+                s.append(_majority(every))
+                h = _distinct(every)
                 at = np.searchsorted(last, h)
                 late = (last[np.minimum(at, len(last) - 1)] == h) if len(last) else np.zeros(len(h), bool)
                 f.append(_set_key(h))
                 n.append(len(h))
                 odd.append(_sketch(h))
                 first.append(np.concatenate([h[~late], h[late]])[: len(h) - (4 * len(h) + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "text_key", "f", "n", "odd", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "text_key", "f", "n", "s", "odd", "prefix"])
 
-    return _as_texts(documents).mapInArrow(run, "doc_id long, text_key long, f long, n int, odd array<long>, prefix array<long>")
+    return _as_texts(documents).mapInArrow(run, "doc_id long, text_key long, f long, n int, s long, odd array<long>, prefix array<long>")
 
 
 def _sets(documents: DataFrame, found: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -416,19 +423,38 @@ def _links_of_large(large: DataFrame, documents: DataFrame, found: DataFrame, wo
     return starred.unionByName(_verified(_sized(pairs.unionByName(alike)).distinct(), documents, found, words))
 
 
+def fingerprint_pairs(found: DataFrame, reach: int = 2) -> DataFrame:
+    """a, b, na, nb: sets to compare, by the operator's search over the distinct fingerprints.
+
+    Of the sets of one fingerprint the smallest is compared with the others, and with the smallest of each fingerprint
+    within ``reach`` bits; so a fingerprint that many sets share costs one comparison for each.
+    """
+    sets = cut(found.groupBy("f").agg(F.min("n").alias("n"), F.min("s").alias("s")))
+    hubs = cut(sets.groupBy("s").agg(F.min(F.struct("f", "n")).alias("hub")).select("s", "hub.f", "hub.n"))
+    inside = sets.toDF("b", "nb", "s").join(hubs.toDF("s", "a", "na"), "s").filter("a <> b").select("a", "b", "na", "nb")
+    near = links(hubs.select(F.col("s").alias("f")), reach).toDF("x", "y")
+    ends = near.join(hubs.toDF("x", "a", "na"), "x").join(hubs.toDF("y", "b", "nb"), "y")
+    turned = F.col("a") > F.col("b")
+    across = ends.select(*[F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))])
+    return cut(_sized(inside.unionByName(across)))
+
+
 def similar_classes(documents: DataFrame, found: DataFrame, words: int = 5, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """f, root: the smallest set that each distinct set reaches over similarities of 4/5 or more, exactly.
 
-    Sets that share a shingle of their prefixes are compared, if their sizes allow the similarity; buckets of over
-    ``max_bucket`` sets go by the differences from their hubs.
+    First sets whose fingerprints are linked are compared. Sets of that similarity may differ in more bits than the
+    search covers, so an exact one follows: sets that share a shingle of their prefixes are compared, if their sizes
+    allow the similarity and they have not been yet; buckets of over ``max_bucket`` sets go by the differences from their hubs.
     """
+    tried = fingerprint_pairs(found)
+    links = _verified(tried, documents, found, words)
     probes = found.select("f", "n", F.explode("prefix").alias("key"))
     shared = cut(probes.groupBy("key").agg(F.min("f").alias("a"), F.max("f").alias("b")).filter("a < b").select("key"))
     members = cut(probes.join(shared, "key", "left_semi").distinct())
     sizes = cut(members.groupBy("key").agg(F.count("*").alias("c")))
     few = members.join(sizes.filter(F.col("c") <= max_bucket), "key").drop("c")
     pairs = _sized(few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").filter("a < b")).select("a", "b", "na", "nb").distinct()
-    links = _verified(pairs, documents, found, words)
+    links = links.unionByName(_verified(pairs.join(tried, ["a", "b"], "left_anti"), documents, found, words))
     large = cut(members.join(sizes.filter(F.col("c") > max_bucket).select("key"), "key", "left_semi"))
     if not large.isEmpty():
         links = links.unionByName(_links_of_large(large, documents, found, words))

@@ -166,6 +166,29 @@ def test_planted_near_copies_equal_brute_force(spark, monkeypatch, most):
     assert sorted(r.doc_id for r in simhash.keep_first(documents(spark, rows)).collect()) == sorted(set(want.values()))
 
 
+def test_pipeline_searches_fingerprints_first(spark, monkeypatch):
+    """near_dedup goes by the operator's fingerprints; an exact comparison decides, and finds what these do not reach."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    near = next(t for k in range(400) for t in [base[:k] + ["zz"] + base[k + 1 :]] if 0 < (simhash.fingerprint(" ".join(t).encode(), 5) ^ simhash.fingerprint(" ".join(base).encode(), 5)).bit_count() <= 2)
+    far = [f"v{i}" if i % 60 == 30 else w for i, w in enumerate(base)]  # similar, but more bits apart
+    stuck = [" ".join(["same"] * 60 + [f"{c}{i}" for i in range(40)]) for c in "xyz"]  # one fingerprint, sets of little in common
+    texts = [" ".join(near), " ".join(base), " ".join(far), *stuck]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert (prints[1] ^ prints[2]).bit_count() > 2 and prints[3] == prints[4] == prints[5]
+    df = documents(spark, [(i, t, "en", "s", 1, None) for i, t in enumerate(texts)])
+    found = simhash.prefixes(df, 5, simhash.common_shingles(df, 5))
+    ids = {r.f: r.doc_id for r in found.collect()}
+    pairs = {frozenset((ids[r.a], ids[r.b])) for r in simhash.fingerprint_pairs(found).collect()}
+    assert frozenset((0, 1)) in pairs and len(pairs & {frozenset(x) for x in ((3, 4), (3, 5), (4, 5))}) == 2 and frozenset((1, 2)) not in pairs
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: asked.append(a) or links(*a))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 3, 4, 5]
+    assert len(asked) == 1
+
+
 # ---- lines
 
 
