@@ -176,8 +176,9 @@ class ChunkEncoder:
     def __init__(self, vocabulary: Vocabulary, encode_ordinary):
         self.vocabulary, self.encode_ordinary = vocabulary, encode_ordinary
         self.newline = self._packed("\n")
-        self.first = BoundedCache(self._packed, 50_000)
-        self.later = BoundedCache(lambda chunk: self._packed(" " + chunk))
+        # some 400 bytes for an entry and the one before it; a worker of a pipeline has other stages' memory as well
+        self.first = BoundedCache(self._packed, 20_000)
+        self.later = BoundedCache(lambda chunk: self._packed(" " + chunk), 60_000)
 
     def _packed(self, text: str) -> bytes:
         return array("i", self.encode_ordinary(text)).tobytes() if text else b""

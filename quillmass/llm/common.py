@@ -56,3 +56,18 @@ def per_worker(key, build):
     if key not in _PER_WORKER:
         _PER_WORKER[key] = build()
     return _PER_WORKER[key]
+
+
+def release_memory() -> None:
+    """Give a worker's free memory back to the system: what earlier tasks of other stages took, which its allocators keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, text_or_empty
+from .common import cut, release_memory, text_or_empty
 from .tokens import _built, broadcast_vocabulary
 
+#: Rows of an Arrow batch that are Python objects at a time.
+BATCH_ROWS = 1024
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,9 +40,10 @@ def pieces(documents: DataFrame, vocabulary: str, capacity: int = 2048, separato
         import numpy as np
         import pyarrow as pa
 
+        release_memory()
         encoder = _built(shared, _encoder, "chunks")
         end = np.array([separator], dtype="<i4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             keys, starts, lengths, numbers, sums, parts = [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encoder.encode_bytes(text) + end

@@ -31,6 +31,17 @@ def test_counts_equal_the_library(fuzz):
         assert [int.from_bytes(encoder.encode_bytes(text)[i : i + 4], "little") for i in range(0, 4 * len(ids), 4)] == ids
 
 
+def test_encoder_keeps_few_chunks():
+    """A worker's caches stay small beside what other stages of a pipeline have taken; what was dropped is encoded again."""
+    vocabulary = bpe.Vocabulary(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    encoder = bpe.ChunkEncoder(vocabulary, bpe.compiled_encoder(vocabulary))
+    words = [f"w{i:x}" for i in range(200_000)]
+    first = encoder.encode_bytes(" ".join(words[:100]))
+    encoder.encode_bytes(" ".join(words))
+    assert sum(len(c) + len(c.before) for c in (encoder.first, encoder.later)) <= 160_000
+    assert encoder.encode_bytes(" ".join(words[:100])) == first
+
+
 def test_automaton_equals_the_library(fuzz):
     path = P.path("word_bpe_49k.json")
     automaton, library = bpe.Automaton(bpe.Vocabulary(open(path, encoding="utf-8").read())), Tokenizer.from_file(path)
