@@ -6,6 +6,7 @@ arrays within its row. Nothing is chosen by formula alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,25 +151,37 @@ def fragment_aliases(entities: DataFrame, fragments: DataFrame) -> DataFrame:
     return entities.select("entity_id").join(only, F.col("entity_id") == F.col("a"), "left").select("entity_id", F.coalesce("b", "entity_id").alias("supported_id"))
 
 
-def fragment_contracts(reactions: DataFrame, fragments: DataFrame) -> DataFrame:
+def fragment_contracts(reactions: DataFrame, fragments: DataFrame, shown: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
     """derivation_id and sorted fragment ids by role: what was reported for a reaction's target, anchor, other reactants, and reactions.
 
     ``reactions``: derivation_id, target_entity_id, anchor_entity_id, reactant_ids (array). Nothing is made up for a
-    product without reports.
+    product without reports. Fragments are gathered once for each set of targets and of participants that reactions
+    have; ``shown`` is applied to these arrays before reactions join them (F.size: only counts travel).
     """
-    of_target = reactions.select("derivation_id", F.col("target_entity_id").alias("entity_id")).join(fragments, "entity_id")
     scoped = F.col("specificity_scope") == "target_specific" if "specificity_scope" in fragments.columns else F.col("evidence_scope") == "target_specific"
 
     def ids(condition: Column, name: str) -> Column:
         return F.array_sort(F.collect_set(F.when(condition, F.col("fragment_id")))).alias(name)
 
+    each = F.filter(F.transform("reactant_ids", lambda r: F.struct(F.col("anchor_entity_id").alias("anchor"), r.alias("entity_id"))), lambda p: p["entity_id"].isNotNull())
+    sets = reactions.select("derivation_id", "target_entity_id", each.alias("each")).groupBy("derivation_id").agg(F.count("*").cast("int").alias("rows"), F.array_sort(F.collect_set("target_entity_id")).alias("targets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("each")))).alias("parts"))
+    none = F.col("derivation_id").isNull()  # joined nothing
+    sets = sets.withColumns({"targets": F.when(~none, F.col("targets")), "parts": F.when(~none, F.col("parts"))})
+
     explicit, product = (F.col("evidence_role") == "explicit_target_diagnostic") & scoped, (F.col("evidence_role") == "target_product_ion") & scoped
-    targets = of_target.groupBy("derivation_id").agg(ids(explicit | product, "reported_target_fragment_ids"), ids(explicit, "explicit_target_diagnostic_ids"), ids(product, "target_product_ion_ids"), ids(F.col("evidence_role") == "class_diagnostic", "class_diagnostic_ids"), ids(F.col("evidence_role") == "theoretical_catalog", "theoretical_catalog_ids"))
-    parts = reactions.select("derivation_id", "anchor_entity_id", F.explode("reactant_ids").alias("entity_id")).join(fragments.filter("evidence_scope = 'component_specific'"), "entity_id")
-    sides = parts.groupBy("derivation_id").agg(ids(F.col("entity_id") == F.col("anchor_entity_id"), "core_fragment_evidence_ids"), ids(F.col("entity_id") != F.col("anchor_entity_id"), "donor_fragment_evidence_ids"))
+    of_target = sets.select("targets").distinct().select("targets", F.explode("targets").alias("entity_id")).join(fragments, "entity_id")
+    targets = of_target.groupBy("targets").agg(ids(explicit | product, "reported_target_fragment_ids"), ids(explicit, "explicit_target_diagnostic_ids"), ids(product, "target_product_ion_ids"), ids(F.col("evidence_role") == "class_diagnostic", "class_diagnostic_ids"), ids(F.col("evidence_role") == "theoretical_catalog", "theoretical_catalog_ids"))
+    parts = sets.select("parts").distinct().select("parts", F.explode("parts").alias("p")).select("parts", "p.*").join(fragments.filter("evidence_scope = 'component_specific'"), "entity_id")
+    sides = parts.groupBy("parts").agg(ids(F.col("entity_id") == F.col("anchor"), "core_fragment_evidence_ids"), ids(F.col("entity_id") != F.col("anchor"), "donor_fragment_evidence_ids"))
     general = fragments.filter("evidence_scope = 'reaction_associated'").agg(F.array_sort(F.collect_set("fragment_id")).alias("reaction_fragment_evidence_ids"))  # one row
-    out = reactions.select("derivation_id").join(targets, "derivation_id", "left").join(sides, "derivation_id", "left").crossJoin(F.broadcast(general))
-    return out.select("derivation_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in out.columns if c != "derivation_id"])
+    empty = shown(F.array().cast("array<string>"))
+
+    def made(df: DataFrame, key: str) -> DataFrame:
+        return df.select(*([key] if key else []), *[shown(F.col(c)).alias(c) for c in df.columns if c != key])
+
+    dealt = sets.select("targets", "parts", F.explode(F.array_repeat("derivation_id", F.col("rows"))).alias("derivation_id"))
+    out = dealt.join(made(targets, "targets"), "targets", "left").join(made(sides, "parts"), "parts", "left").crossJoin(F.broadcast(made(general, ""))).drop("targets", "parts")
+    return out.select("derivation_id", *[F.coalesce(c, empty).alias(c) for c in out.columns if c != "derivation_id"])
 
 
 # ---- the registry
