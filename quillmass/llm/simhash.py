@@ -31,6 +31,8 @@ BITS = 64
 MAX_BUCKET = 64
 #: Rows of three longs are broadcast up to this number, and joined by shuffle beyond it.
 MAX_BROADCAST_ROWS = 250_000
+#: Edges (two longs) that one task takes together; more of them go by rounds of joins.
+MAX_TASK_EDGES = 250_000
 #: A probe's cost against that of verifying one candidate, and of one key of the exact way.
 PROBE_COST = 2.0
 
@@ -200,14 +202,42 @@ def links(distinct: DataFrame, reach: int = 2, max_bucket: int = MAX_BUCKET) ->
     return pairs.unionByName(stars).distinct()
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node that each node of an edge reaches, by union and find over all edges in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], names=["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of an edge reaches.
 
-    FastSV: in every round a node takes the smallest grandparent among its neighbours, its parent is hooked to that
-    too, and parents are followed one step. So trees merge by their roots, and the rounds grow with the logarithm of
-    a component's size, not with its diameter; they go on until nothing changes. Groups are only ever reduced to a minimum.
+    Up to ``MAX_TASK_EDGES`` edges are united in one task: rounds of joins would cost more in tasks and small files than
+    in edges. More go by FastSV: in every round a node takes the smallest grandparent among its neighbours, its parent
+    is hooked to that too, and parents are followed one step. So trees merge by their roots, and the rounds grow with
+    the logarithm of a component's size, not with its diameter; they go on until nothing changes. Groups are only ever
+    reduced to a minimum.
     """
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))))
+    edges = cut(edges.select("a", "b"))
+    if edges.count() <= MAX_TASK_EDGES:
+        return cut(_united(edges))
+    both = cut(edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))))
     nodes = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("up")).select("node", "up", F.col("node").alias("top")))
     while True:
         heard = both.join(nodes.select(F.col("node").alias("other"), F.col("top").alias("offer")), "other").groupBy("node").agg(F.min("offer").alias("offer"))
@@ -338,24 +368,33 @@ def _alike(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, found: DataFrame, words: int, *more: str) -> DataFrame:
-    """Those pairs (a, b, na, nb, and ``more``) whose sets have a similarity of 4/5 or more.
+def _ends(pairs: DataFrame, *names: str) -> DataFrame:
+    """f: what stands in any of these columns, from one reading of them."""
+    return pairs.select(F.explode(F.array(*names)).alias("f")).distinct()
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """a, b: those pairs (a, b, na, nb) whose sets have a similarity of 4/5 or more.
 
     Such sets differ in at most a ninth of the sum of their sizes, so the sketches rule most others out; the rest is
     compared whole.
     """
     pairs = cut(pairs)
-    involved = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-    small = cut(found.select("f", "odd").join(involved, "f", "left_semi").dropDuplicates(["f"]))
+    small = cut(found.select("f", "odd").join(_ends(pairs, "a", "b"), "f", "left_semi").dropDuplicates(["f"]))
     near = pairs.join(small.toDF("a", "x"), "a").join(small.toDF("b", "y"), "b")
-    near = cut(near.filter(_alike("x", "y") * 9 <= F.col("na") + F.col("nb")).select("a", "b", *more))
+    near = cut(near.filter(_alike("x", "y") * 9 <= F.col("na") + F.col("nb")).select("a", "b"))
     if near.isEmpty():
         return near
-    needed = near.select(F.col("a").alias("f")).unionByName(near.select(F.col("b").alias("f"))).distinct()
-    sets = _sets(documents, found, needed, words)
+    sets = _sets(documents, found, _ends(near, "a", "b"), words)
     both = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 5 >= (F.size("x") + F.size("y") - common) * 4).select("a", "b", *more)
+    return both.filter(common * 5 >= (F.size("x") + F.size("y") - common) * 4).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) with the smaller set hash first."""
+    turned = F.col("a") > F.col("b")
+    return pairs.select(*[F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))])
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -392,8 +431,8 @@ def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(run, "hub long, f long, n int, similar boolean, probe array<long>"))
 
 
-def _links_of_large(large: DataFrame, documents: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """a, b: links that connect what the large buckets (key, f, n) link.
+def _links_of_large(large: DataFrame, documents: DataFrame, found: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and pairs to compare (a, b, na, nb), which together connect what the large buckets (key, f, n) link.
 
     A bucket's hub is the member that stands in most large buckets, and all members are compared with it. Jaccard
     distance is a metric: a set over 0.4 from the hub has no link to one within 0.2 of it, which sketches show at once.
@@ -404,14 +443,10 @@ def _links_of_large(large: DataFrame, documents: DataFrame, found: DataFrame, wo
     first = F.max_by(F.struct("f", "n"), F.struct("degree", "f")).alias("h")
     hubs = large.join(degree, "f").groupBy("key").agg(first).select("key", F.col("h.f").alias("hub"), F.col("h.n").alias("nh"))
     rows = cut(large.join(hubs, "key").filter("f <> hub").select("hub", "nh", "f", "n").distinct())
-
-    def ends(df: DataFrame) -> DataFrame:
-        return df.select("f").unionByName(df.select(F.col("hub").alias("f"))).distinct()
-
-    sketches = cut(found.select("f", "odd").join(ends(rows), "f", "left_semi").dropDuplicates(["f"]))
+    sketches = cut(found.select("f", "odd").join(_ends(rows, "f", "hub"), "f", "left_semi").dropDuplicates(["f"]))
     both = rows.join(sketches.toDF("f", "x"), "f").join(sketches.toDF("hub", "y"), "hub")
     near = cut(both.filter(_alike("x", "y") * 4 <= F.col("n") + F.col("nh")).select("hub", "nh", "f", "n"))
-    deltas = _differences(near, _sets(documents, found, ends(near), words))
+    deltas = _differences(near, _sets(documents, found, _ends(near, "f", "hub"), words))
     starred = cut(deltas.filter("similar").select(F.col("hub").alias("a"), F.col("f").alias("b")))
     side = lambda similar, f, n: deltas.filter(F.col("similar") == similar).select("hub", F.col("f").alias(f), F.col("n").alias(n), F.explode("probe").alias("t"))
     pairs = side(True, "a", "na").join(side(False, "b", "nb"), ["hub", "t"]).select("a", "b", "na", "nb")
@@ -420,7 +455,7 @@ def _links_of_large(large: DataFrame, documents: DataFrame, found: DataFrame, wo
     left = apart.select("hub", F.col("f").alias("a"), F.col("n").alias("na"), band.alias("band"))
     right = apart.select("hub", F.col("f").alias("b"), F.col("n").alias("nb"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     alike = left.join(right, ["hub", "band"]).filter("a < b").select("a", "b", "na", "nb")
-    return starred.unionByName(_verified(_sized(pairs.unionByName(alike)).distinct(), documents, found, words))
+    return starred, _sized(_ordered(pairs).unionByName(alike))
 
 
 def fingerprint_pairs(found: DataFrame, reach: int = 2) -> DataFrame:
@@ -434,30 +469,30 @@ def fingerprint_pairs(found: DataFrame, reach: int = 2) -> DataFrame:
     inside = sets.toDF("b", "nb", "s").join(hubs.toDF("s", "a", "na"), "s").filter("a <> b").select("a", "b", "na", "nb")
     near = links(hubs.select(F.col("s").alias("f")), reach).toDF("x", "y")
     ends = near.join(hubs.toDF("x", "a", "na"), "x").join(hubs.toDF("y", "b", "nb"), "y")
-    turned = F.col("a") > F.col("b")
-    across = ends.select(*[F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))])
-    return cut(_sized(inside.unionByName(across)))
+    return _sized(inside.unionByName(_ordered(ends.select("a", "b", "na", "nb"))))
 
 
 def similar_classes(documents: DataFrame, found: DataFrame, words: int = 5, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """f, root: the smallest set that each distinct set reaches over similarities of 4/5 or more, exactly.
 
-    First sets whose fingerprints are linked are compared. Sets of that similarity may differ in more bits than the
-    search covers, so an exact one follows: sets that share a shingle of their prefixes are compared, if their sizes
-    allow the similarity and they have not been yet; buckets of over ``max_bucket`` sets go by the differences from their hubs.
+    First come sets whose fingerprints are linked. Sets of that similarity may differ in more bits than the search
+    covers, so an exact one follows: sets that share a shingle of their prefixes, if their sizes allow the similarity;
+    buckets of over ``max_bucket`` sets go by the differences from their hubs. All these pairs are compared in one go, each once.
     """
-    tried = fingerprint_pairs(found)
-    links = _verified(tried, documents, found, words)
+    pairs = fingerprint_pairs(found)
     probes = found.select("f", "n", F.explode("prefix").alias("key"))
     shared = cut(probes.groupBy("key").agg(F.min("f").alias("a"), F.max("f").alias("b")).filter("a < b").select("key"))
     members = cut(probes.join(shared, "key", "left_semi").distinct())
     sizes = cut(members.groupBy("key").agg(F.count("*").alias("c")))
     few = members.join(sizes.filter(F.col("c") <= max_bucket), "key").drop("c")
-    pairs = _sized(few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").filter("a < b")).select("a", "b", "na", "nb").distinct()
-    links = links.unionByName(_verified(pairs.join(tried, ["a", "b"], "left_anti"), documents, found, words))
+    pairs = pairs.unionByName(_sized(few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").filter("a < b")).select("a", "b", "na", "nb"))
     large = cut(members.join(sizes.filter(F.col("c") > max_bucket).select("key"), "key", "left_semi"))
+    starred = None
     if not large.isEmpty():
-        links = links.unionByName(_links_of_large(large, documents, found, words))
+        starred, more = _links_of_large(large, documents, found, words)
+        pairs = pairs.unionByName(more)
+    links = _verified(pairs.distinct(), documents, found, words)
+    links = links if starred is None else links.unionByName(starred)
     roots = components(links).withColumnRenamed("node", "f")
     return cut(found.select("f").distinct().join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("root")))
 

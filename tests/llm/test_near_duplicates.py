@@ -98,6 +98,45 @@ def test_long_chains_are_one_component(spark, order):
     assert found == dict.fromkeys(ids, 1) | {1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("most", [0, 60])  # edges that one task takes together
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, most):
+    """Both ways give the smallest node that is reached; edges in any direction, repeated, from a node to itself, negative, none."""
+    monkeypatch.setattr(simhash, "MAX_TASK_EDGES", most)
+    rng = random.Random(5)
+    edges = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(45)] + [(-(1 << 63), 100), (100, (1 << 63) - 1), (100, -(1 << 63)), (7, 7), (200, 200)]
+    want = {x: x for e in edges for x in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert {r.node: r.root for r in simhash.components(df).collect()} == want
+    assert simhash.components(df.filter("a > 1000")).collect() == []
+
+
+def test_near_dedup_takes_few_tasks(spark, monkeypatch):
+    """Candidates are compared in one go and their links united in one task: what tasks cost besides rows does not grow with rounds and unions."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(90):  # a bucket of over 64 sets, near copies in a chain
+        base = [*base[:-1]] if rng.random() < 0.3 else [*base, f"v{rng.randrange(900)}"]
+        texts.append(" ".join(base))
+    df = documents(spark, [(i, t, "en", "s", 1, None) for i, t in enumerate(texts)])
+    asked, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: asked.append(1) or verified(pairs, *a))
+    want = brute_sets(list(enumerate(texts)))
+    context = spark.sparkContext
+    context.setJobGroup("few tasks", "")
+    try:
+        assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(want.values()))
+        stages = {s for j in context.statusTracker().getJobIdsForGroup("few tasks") for s in context.statusTracker().getJobInfo(j).stageIds}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [i.numTasks for s in stages if (i := context.statusTracker().getStageInfo(s))]
+    print(len(asked), sum(tasks), max(tasks))
+    assert len(asked) == 1 and max(tasks) <= 16  # four shuffle partitions, or as many for each part of a union
+
+
 def test_allocation_sums_and_choices():
     cost, chosen = simhash.allocate([{-1: 0, 0: 5, 1: 50}, {-1: 0, 0: 1, 1: 2}], 1)
     assert (cost, chosen) == (7, [0, 1])
